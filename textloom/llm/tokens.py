@@ -24,6 +24,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -41,6 +42,26 @@ from .shared import shared_folder
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+_MARKS = ".,;:!?"
+
+
+class _ByteLevel(dict):
+    """For str.translate: a character as its UTF-8 bytes in the alphabet of byte-level vocabularies.
+
+    Bytes with a visible Latin-1 character stand for it, the others follow
+    from U+0100 on.
+    """
+
+    def __init__(self):
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.byte = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+    def __missing__(self, code: int) -> str:
+        value = self[code] = "".join(self.byte[b] for b in chr(code).encode("utf-8", "surrogatepass"))
+        return value
+
+
 class Encoder:
     """Whole-text encoding with a byte-level BPE of the tokenizers library.
 
@@ -48,7 +69,7 @@ class Encoder:
     texts with a special token's opening are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -56,10 +77,13 @@ class Encoder:
         self.type = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.cache: dict[str, bytes] = {}
         self.most = most
+        self.code = "H" if self.type.itemsize == 2 else "I"
         # splitting is known to be right for this pre-tokenizer only
         pre = json.loads(self.tokenizer.to_str())
         kind = pre.get("pre_tokenizer") or {}
         self.splits = pre.get("normalizer") is None and kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space")
+        self.letters = _ByteLevel()
+        self.space = self.letters[ord(" ")]
 
     def ids(self, text: str | None) -> bytes:
         """The ids of a text as little-endian bytes (null: as empty)."""
@@ -77,12 +101,38 @@ class Encoder:
             if len(cache) + len(new) > self.most:
                 cache.clear()
                 new = list(set(rest))
-            cache.update(zip(new, self._whole([" " + p for p in new]), strict=True))
+            cache.update(zip(new, self._pieces(new), strict=True))
             got = list(map(cache.__getitem__, rest))
         return b"".join([self._whole([first])[0], *got])
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that follow a space.
+
+        A run of letters is one pre-token, and so is a mark after it: these go
+        to the tokenizer's model at once.
+        """
+        out: list[bytes | None] = []
+        for p in pieces:
+            if p.isalpha():
+                out.append(self._word(p))
+            elif p[-1] in _MARKS and p[:-1].isalpha():
+                word = self.cache.get(p[:-1])
+                out.append((word or self._word(p[:-1])) + self._model(p[-1]))
+            else:
+                out.append(None)
+        left = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(left, self._whole([" " + pieces[k] for k in left]), strict=True):
+            out[k] = ids
+        return out
+
+    def _word(self, letters: str) -> bytes:
+        return self._model(self.space + letters.translate(self.letters))
+
+    def _model(self, token: str) -> bytes:
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(token)]).tobytes()
+
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
