@@ -5,10 +5,12 @@ word n-grams (A-Z lower-cased, words split at ASCII white space; a text with
 fewer words has its whole sequence as one n-gram).
 
 1. Equal sets collapse into one *node* before anything is compared.
-2. Every node is filed under the smallest hashes of its set, as many as a
-   linked partner cannot all miss (prefix filter), and under the size class in
-   which a partner can be.  What can link shares a file; most files hold one
-   node and go.
+2. Every node is filed by size class, its own and the one below in which a
+   smaller partner can be.  For a class, the space of hashes is cut into more
+   parts than linked sets can differ in elements, so they agree in whole parts;
+   a node is filed once under the elements of each part.  What can link shares
+   a file; most files hold one node and go.  Common n-grams do not make large
+   files, as the other elements of a part tell its texts apart.
 3. Each file becomes a signature tree: leaves of nodes sorted by size, inner
    nodes with OR-combined bitmaps and size ranges.  A dual traversal drops
    pairs of tree nodes whose sizes cannot link or whose maximum possible
@@ -27,6 +29,7 @@ Sets are compared by 64-bit hashes of n-grams.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, components, few, group_starts, shingles, signed, whole_groups
+from .shared import Scratch, components, few, group_starts, mix, shingles, signed, whole_groups
 
 #: Most members of a file that one task compares with each other.
 BLOCK = 1024
 #: Members of a leaf of a tree, and children of an inner node.
 LEAF, FANOUT = 32, 8
 #: A size class spans this many steps of the size ratio that links allow.
-STEPS = 3
+STEPS = 2
 
 
 def bits_for(n: int) -> int:
@@ -74,32 +77,63 @@ def size_class(n: int, percent: int) -> int:
     return int(np.log(n) / (STEPS * np.log(100 / percent)) + 1e-12)
 
 
+@cache
+def parts_of(c: int, percent: int) -> tuple[int, int]:
+    """(parts, empty parts that need no file) of a size class.
+
+    A member a of the class and its partner b differ in at most
+    ``(100 - percent) / (100 + percent) * (a + b)`` elements.  With that and
+    ``spare`` more parts than this they agree in over ``spare`` parts, hence in
+    one that is not empty if either has at most ``spare`` empty ones.
+    """
+    step = STEPS * np.log(100 / percent)
+    least, most = max(1, int(np.exp(c * step)) - 2), int(np.exp((c + 1) * step)) + 2
+    differ = (100 - percent) * (most + 100 * most // percent) // (100 + percent)
+    empty = (differ + 1) * np.exp(-least / (differ + 1))
+    spare = int(np.ceil(empty + 4 * np.sqrt(empty) + 1))
+    return differ + 1 + spare, spare
+
+
+def files(h: np.ndarray, c: int, percent: int) -> np.ndarray:
+    """Names of the files of a set in a size class."""
+    parts, spare = parts_of(c, percent)
+    part = ((h >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    at, first = np.unique(part[order], return_index=True)
+    sums = np.add.reduceat(mix(h[order]), first)
+    if parts - len(at) > spare:
+        sums, at = np.append(sums, np.zeros(parts - len(at), np.uint64)), np.append(at, np.setdiff1d(np.arange(parts), at))
+    return mix(sums + mix(at.astype(np.uint64) + np.uint64(c << 40)))
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, n_words: int, percent: int) -> DataFrame:
-    """(doc_id, text_hash, n, node, sigs, classes, bitmap); node is a hash of the set, null if empty."""
+    """(doc_id, text_hash, n, node, filed, bitmap); node is a hash of the set, null if empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, node, sigs, classes, maps = [], [], [], [], []
-            for text in b["text"].to_pylist():
-                h = shingles(_lower_words(text), n_words)
+            n, node, filed, maps = [], [], [], []
+            for text in b["text"]:
+                h = shingles(_lower_words(text.as_py()), n_words)
                 n.append(len(h))
                 if not len(h):
-                    node.append(None), sigs.append(None), classes.append(None), maps.append(None)
+                    node.append(None), filed.append(None), maps.append(None)
                     continue
                 # of the sorted set as a whole: equal sets alone have equal bytes
                 node.append(_set_hash(h))
-                sigs.append(signed(h[: len(h) + percent * -len(h) // 100 + 1]))
                 own = size_class(len(h), percent)
                 below = size_class(-(-percent * len(h) // 100), percent)
-                classes.append([own] if own == below else [own, below])
+                filed.append([{"c": c, "home": c == own, "sigs": signed(files(h, c, percent))} for c in sorted({own, below})])
                 maps.append(bitmap(h))
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], b["text_hash"], pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(classes, pa.list_(pa.int32())), pa.array(maps, pa.binary())],
-                names=["doc_id", "text_hash", "n", "node", "sigs", "classes", "bitmap"],
+                [b["doc_id"], b["text_hash"], pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(filed, _FILED), pa.array(maps, pa.binary())],
+                names=["doc_id", "text_hash", "n", "node", "filed", "bitmap"],
             )
 
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
-    return read.mapInArrow(run, "doc_id long, text_hash long, n int, node long, sigs array<long>, classes array<int>, bitmap binary")
+    return read.mapInArrow(run, "doc_id long, text_hash long, n int, node long, filed array<struct<c:int,home:boolean,sigs:array<bigint>>>, bitmap binary")
+
+
+_FILED = pa.list_(pa.struct([("c", pa.int32()), ("home", pa.bool_()), ("sigs", pa.list_(pa.int64()))]))
 
 
 def _lower_words(text: str | None) -> list[bytes]:
@@ -290,9 +324,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     s = Scratch(spark, "jaccard")
     sketch = s.keep(sketches(docs, id_col, text_col, n_words, percent), "sketch")
 
-    one = sketch.where("node is not null").select("node", "n", "sigs", "classes").dropDuplicates(["node"])
-    filed = one.select("node", "n", F.explode("sigs").alias("sig"), "classes").select("node", "n", "sig", F.posexplode("classes").alias("pos", "c"))
-    filed = filed.select("node", "n", "sig", "c", (F.col("pos") == 0).alias("home"))
+    one = sketch.where("node is not null").select("node", "n", "filed").dropDuplicates(["node"])
+    filed = one.select("node", "n", F.explode("filed").alias("f")).select("node", "n", "f.c", "f.home", F.explode("f.sigs").alias("sig"))
     file = Window.partitionBy("c", "sig")
     filed = filed.withColumn("cnt", F.count("*").over(file)).withColumn("homes", F.sum(F.col("home").cast("int")).over(file))
     filed = s.keep(filed.where("cnt > 1 and homes > 0").drop("homes"), "filed")
