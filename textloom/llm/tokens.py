@@ -69,7 +69,7 @@ class Encoder:
     texts with a special token's opening are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -91,18 +91,27 @@ class Encoder:
             return b""
         if not self.splits or "<|" in text:
             return self._whole([text])[0]
-        first, *rest = text.split(" ")
-        if "" in rest or any(p[0].isspace() or p[-1].isspace() for p in rest) or not first or first[-1].isspace():
-            first, *rest = _CUT.split(text)
+        out = self._joined(text.split(" "), False)
+        return self._joined(_CUT.split(text), True) if out is None else out
+
+    def _joined(self, pieces: list[str], cut: bool) -> bytes | None:
+        """Ids of pieces with spaces between; None where a plain split cut beside other white space."""
+        first, *rest = pieces
+        if not cut and (not first or first[-1].isspace()):
+            return None
         cache = self.cache
         got = list(map(cache.get, rest))
         if None in got:
+            # what is in the cache neither begins nor ends with white space
             new = list({p for p, g in zip(rest, got, strict=True) if g is None})
-            if len(cache) + len(new) > self.most:
+            odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
+            if odd and not cut:
+                return None
+            ids = dict(zip(new, self._pieces(new), strict=True))
+            got = [ids[p] if g is None else g for p, g in zip(rest, got, strict=True)]
+            if len(cache) + len(ids) > self.most:
                 cache.clear()
-                new = list(set(rest))
-            cache.update(zip(new, self._pieces(new), strict=True))
-            got = list(map(cache.__getitem__, rest))
+            cache.update(ids if not odd else {p: v for p, v in ids.items() if p not in odd})
         return b"".join([self._whole([first])[0], *got])
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
