@@ -400,7 +400,7 @@ def _decided(s: Scratch, docs: DataFrame, sketch: DataFrame, text_col: str, pair
             yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(sets_.select(F.col("node").alias("a"), F.col("h").alias("x")), "a").join(sets_.select(F.col("node").alias("b"), F.col("h").alias("y")), "b")
-    out = s.keep(both.select("a", "b", "x", "y").mapInArrow(decide, _PAIRS), f"{name}_links")
+    out = s.keep(both.select("a", "b", "x", "y").mapInArrow(decide, _PAIRS), f"{name}_links", batch=500)
     s.drop(f"{name}_texts", f"{name}_sets")
     return out
 

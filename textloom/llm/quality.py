@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textfeatures import char_ngrams, collected, labelled_sample, remainder, scored, word_slots
+from .textfeatures import char_ngrams, class_share, fitted, labelled_sample, remainder, scored, word_slots
 
 SIZES = (3, 4, 5)
 BITS, DIM = 17, 16
@@ -47,7 +47,7 @@ def score(text: str | None, table: np.ndarray, bias: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(bias + total / max(n, 1), -500, 500))))
 
 
-def fit(features: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, share: float, epochs: int = 8, rate: float = 0.5, seed: int = 1) -> Model:
+def fit(features: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, share: float, steps: int = 24_000, rate: float = 0.5, seed: int = 1) -> Model:
     """Softmax regression on averaged embeddings; ``share``: of class 1 among all rows."""
     rng = np.random.default_rng(seed)
     e = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
@@ -57,6 +57,7 @@ def fit(features: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, sha
             b[y[0]] = 2.0
         return Model(e, w, b)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    epochs = min(40, max(6, steps // len(y)))  # few rows are gone over more often
     step, total = 0, epochs * len(y)
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
@@ -77,14 +78,19 @@ def fit(features: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, sha
     return Model(e, w, b)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 3, left_out: int = 1, per_class: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 3, left_out: int = 1, per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on rows of ``labels`` whose id's crc32 modulo ``mod`` is not ``left_out``."""
     use = remainder(mod) != left_out
     sample = labelled_sample(docs, labels, label, use, per_class, id_col, text_col)
-    f, c, y = collected(sample, lambda t: np.unique(np.concatenate(slots(t)), return_counts=True))
-    counts = {r["y"]: r["count"] for r in labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("y")).where(use & F.col("y").isin(0, 1)).groupBy("y").count().collect()}
-    share = min(0.95, max(0.05, counts.get(1, 0) / max(1, sum(counts.values()))))
-    return fit(f, c, y, share)
+    share = class_share(labels, label, use, 0.05, 0.95, id_col)
+
+    def make(texts, y):
+        found = [np.unique(np.concatenate(slots(t)), return_counts=True) for t in texts]
+        m = fit([f for f, _ in found], [c for _, c in found], y, share)
+        return [m.embedding.ravel(), m.output.ravel(), m.bias]
+
+    embedding, output, bias = fitted(sample, make)
+    return Model(embedding.reshape(-1, DIM), output.reshape(DIM, 2), bias)
 
 
 def quality(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -45,10 +45,18 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a table and return it as read back; earlier shuffles are let go."""
-        schema = df.schema
-        df.write.mode("overwrite").parquet(self.path(name))
+    def keep(self, df: DataFrame, name: str, batch: int = 2000) -> DataFrame:
+        """Write a table and return it as read back; earlier shuffles are let go.
+
+        ``batch``: rows of an Arrow batch meanwhile, for steps whose rows are large.
+        """
+        schema, conf, key = df.schema, self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(key)
+        conf.set(key, str(min(batch, int(before)) if int(before) > 0 else batch))
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            conf.set(key, before)
         del df
         gc.collect()
         self.spark._jvm.System.gc()  # lets Spark's cleaner delete shuffle files of finished steps
@@ -79,7 +87,7 @@ def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 class WordHashes(dict):
     """64-bit hashes of words; emptied when full so that memory stays bounded."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

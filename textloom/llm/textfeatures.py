@@ -60,19 +60,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, use: Column,
     return texts.join(F.broadcast(first[0].unionByName(first[1])), "doc_id").select("text", "y")
 
 
-def collected(sample: DataFrame, slots_of) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Feature slots, their counts and labels of a bounded sample, made on the executors."""
+def fitted(sample: DataFrame, fit) -> list[np.ndarray]:
+    """What ``fit`` makes of the texts and labels of a bounded sample: float32 arrays.
+
+    Fitting runs in one task, whose input has the sample's bound; only the
+    model comes to the driver.
+    """
 
     def run(batches):
-        for b in batches:
-            slots, counts = [], []
-            for text in b["text"].to_pylist():
-                u, c = slots_of(text)
-                slots.append(u.astype("<i4").tobytes()), counts.append(c.astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([b["y"], pa.array(slots, pa.binary()), pa.array(counts, pa.binary())], names=["y", "s", "c"])
-
-    got = sorted((r["s"], r["c"], r["y"]) for r in sample.mapInArrow(run, "y int, s binary, c binary").collect())
-    return [np.frombuffer(bytes(s), "<i4") for s, _, _ in got], [np.frombuffer(bytes(c), "<i4") for _, c, _ in got], np.array([y for _, _, y in got], np.int64)
+        rows = sorted((t, y) for b in batches for t, y in zip(b["text"].to_pylist(), b["y"].to_pylist(), strict=True))
+        made = fit([t for t, _ in rows], np.array([y for _, y in rows], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(made)), pa.int32()), pa.array([np.asarray(a, "<f4").tobytes() for a in made], pa.binary())], names=["k", "data"])
+
+    got = sorted(sample.repartition(1).mapInArrow(run, "k int, data binary").collect())
+    # a sample without rows may have no task
+    return [np.frombuffer(bytes(r["data"]), "<f4") for r in got] or [np.asarray(a, "<f4") for a in fit([], np.empty(0, np.int64))]
+
+
+def class_share(labels: DataFrame, label: str, use: Column, least: float, most: float, id_col: str = "doc_id") -> float:
+    """The share of class 1 among all labelled rows in use, within bounds."""
+    rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(use & F.col("y").isin(0, 1))
+    share = rows.agg(F.avg("y")).first()[0]
+    return min(most, max(least, share if share is not None else least))
 
 
 def remainder(mod: int) -> Column:

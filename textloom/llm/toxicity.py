@@ -16,10 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textfeatures import Distinct, char_ngrams, collected, labelled_sample, remainder, scored
+from .textfeatures import Distinct, char_ngrams, class_share, fitted, labelled_sample, remainder, scored
 
 SIZES = (3, 4, 5, 6)
 BITS = 18
+#: Standard errors below which a log-count ratio counts as none.
+NOISE = 3.0
 
 
 def features(text: str | None) -> np.ndarray:
@@ -41,19 +43,22 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[f].sum(dtype=np.float64), -500, 500))))
 
 
-def fit(slots: list[np.ndarray], y: np.ndarray, share: float, epochs: int = 6, rate: float = 0.05, alpha: float = 1.0, decay: float = 1e-5, seed: int = 1) -> Model:
+def fit(slots: list[np.ndarray], y: np.ndarray, share: float, steps: int = 16_000, rate: float = 0.05, alpha: float = 1.0, decay: float = 1e-5, seed: int = 1) -> Model:
     """Fit on feature sets; ``share`` is the share of class 1 among all rows to be scored."""
     if len(set(y.tolist())) < 2:  # nothing to tell apart: the class seen, or unlikely
         return Model(np.zeros(1 << BITS, np.float32), float(np.log((0.5 + y.sum()) / (0.5 + (1 - y).sum()))) if len(y) else -5.0)
     p, q = np.full(1 << BITS, alpha), np.full(1 << BITS, alpha)
     for f, c in zip(slots, y, strict=True):
         (p if c else q)[f] += 1
-    ratio = np.log(p / (p.sum() / 1e6)) - np.log(q / (q.sum() / 1e6))
-    ratio -= np.median(ratio[(p > alpha) | (q > alpha)])
+    ones = int(y.sum())
+    ratio = np.log(p / (ones + 2 * alpha)) - np.log(q / (len(y) - ones + 2 * alpha))
+    # a ratio within its own error of sampling says nothing
+    ratio[np.abs(ratio) < NOISE * np.sqrt(1 / p + 1 / q)] = 0.0
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     w, b = np.full(1 << BITS, 0.01), np.log(share / (1 - share))
     seen, seen_b, rng = np.full(1 << BITS, 1e-2), 1e-2, np.random.default_rng(seed)
-    for _ in range(epochs):
+    # few rows are gone over more often
+    for _ in range(min(40, max(4, steps // len(y)))):
         for i in rng.permutation(len(y)):
             f = slots[i]
             r = ratio[f]
@@ -67,14 +72,18 @@ def fit(slots: list[np.ndarray], y: np.ndarray, share: float, epochs: int = 6, r
     return Model((w * ratio).astype(np.float32), float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 4, left_out: int = 2, per_class: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 4, left_out: int = 2, per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on rows of ``labels`` whose id's crc32 modulo ``mod`` is not ``left_out``."""
     use = remainder(mod) != left_out
     sample = labelled_sample(docs, labels, label, use, per_class, id_col, text_col)
-    slots, _, y = collected(sample, lambda t: (f := features(t), f[:0]))
-    counts = {r["y"]: r["count"] for r in labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("y")).where(use & F.col("y").isin(0, 1)).groupBy("y").count().collect()}
-    share = min(0.9, max(0.01, counts.get(1, 0) / max(1, sum(counts.values()))))
-    return fit(slots, y, share)
+    share = class_share(labels, label, use, 0.01, 0.9, id_col)
+
+    def make(texts, y):
+        m = fit([features(t) for t in texts], y, share)
+        return [m.weights, [m.bias]]
+
+    weights, bias = fitted(sample, make)
+    return Model(weights, float(bias[0]))
 
 
 def toxicity(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
