@@ -4,7 +4,191 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from textloom.functions.text import escaped, is_english_line, stripped, tidied
+from textloom.operators import joins, layout, segments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str):
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = run, sql
+        return f
+
+    return add
+
+
+_LINES = "lines AS (SELECT doc_id, lang, i - 1 AS line_no, ls[i] AS line FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS ls FROM documents), LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i))"
+_STRIPPED = "regexp_replace(line, '^\\s+|\\s+$', '', 'g')"
+_ENGLISH = f"(length({_STRIPPED}) >= 4 AND regexp_matches({_STRIPPED}, '[\\p{{L}}\\p{{N}}]') AND length(regexp_replace({_STRIPPED}, '[^\\x00-\\x7F]', '', 'g'))::DOUBLE / length({_STRIPPED}) > 0.7)"
+
+
+@_query(f"WITH {_LINES} SELECT lang, count(*) AS n_lines, count(*) FILTER (WHERE {_ENGLISH}) AS n_english FROM lines GROUP BY lang")
+def english_lines(read):
+    lines = read("documents").select("lang", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("lang").agg(F.count("*").alias("n_lines"), F.count_if(is_english_line(F.col("line"))).alias("n_english"))
+
+
+@_query(f"""WITH {_LINES}, marked AS (SELECT *, {_ENGLISH} AS en, sum(CASE WHEN {_ENGLISH} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM lines),
+blocks AS (SELECT doc_id, island, min(line_no) AS start_line, count(*) AS n_lines, sum(length({_STRIPPED})) AS chars FROM marked WHERE en GROUP BY doc_id, island),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN n_lines >= 2 THEN 0 ELSE 1 END, chars DESC, start_line) AS r FROM blocks)
+SELECT doc_id, start_line::BIGINT AS start_line, n_lines, chars::BIGINT AS chars FROM ranked WHERE r = 1""")
+def longest_english_block(read):
+    lines = segments.lines_of(read("documents"))
+    runs = segments.islands(lines, ["doc_id"], "line_no", is_english_line(F.col("line")))
+    blocks = runs.groupBy("doc_id", "island").agg(F.min("line_no").cast("long").alias("start_line"), F.count("*").alias("n_lines"), F.sum(F.length(stripped(F.col("line")))).alias("chars"))
+    best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.when(F.col("n_lines") >= 2, 0).otherwise(1), F.desc("chars"), "start_line"))
+    return blocks.withColumn("r", best).where("r = 1").select("doc_id", "start_line", "n_lines", "chars")
+
+
+@_query("SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), ' ([,.;:!?])', '\\1', 'g')) AS t FROM documents)")
+def tidy_punctuation(read):
+    t = tidied(F.col("text"))
+    return read("documents").select("doc_id", F.length(t).cast("long").alias("n_chars"), F.md5(t.cast("binary")).alias("digest"))
+
+
+@_query("""WITH s AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS segment FROM conversations)
+SELECT conv_id, segment::BIGINT AS segment, count(*) AS n, min(turn) AS first_turn FROM s WHERE segment > 0 GROUP BY conv_id, segment""")
+def segments_leading(read):
+    return segments.leading_segments(read("conversations"), ["conv_id"], ["turn"], F.col("role") == "user").groupBy("conv_id", "segment").agg(F.count("*").alias("n"), F.min("turn").alias("first_turn"))
+
+
+@_query("""WITH s AS (SELECT *, coalesce(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS segment,
+max(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM conversations)
+SELECT conv_id, segment::BIGINT AS segment, count(*) AS n, max(turn) AS last_turn FROM s WHERE open = 1 GROUP BY conv_id, segment""")
+def segments_trailing(read):
+    return segments.trailing_segments(read("conversations"), ["conv_id"], ["turn"], F.col("role") == "assistant").groupBy("conv_id", "segment").agg(F.count("*").alias("n"), F.max("turn").alias("last_turn"))
+
+
+@_query("SELECT event_id, user_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_event FROM events")
+def next_bound(read):
+    return segments.next_bound(read("events").select("event_id", "user_id", "ts"), ["user_id"], ["ts", "event_id"], "event_id", "next_event").drop("ts")
+
+
+@_query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM events) WHERE r = 1")
+def first_wins(read):
+    return segments.wins(read("events"), ["user_id", "event_type"], ["event_id"], ["event_id", "value"])
+
+
+@_query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def last_wins(read):
+    return segments.wins(read("events"), ["user_id", "event_type"], ["event_id"], ["event_id", "value"], last=True)
+
+
+@_query("""SELECT event_id, user_id, last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM events""")
+def carry_forward(read):
+    e = read("events").select("event_id", "user_id", "ts", "event_type", "value")
+    return segments.carried_forward(e, ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "view", F.col("value")), "carried").select("event_id", "user_id", "carried")
+
+
+@_query("""WITH g AS (SELECT user_id, ts, event_id, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 3600000000 THEN 1 ELSE 0 END AS new FROM events),
+c AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS chain FROM g)
+SELECT user_id, chain::BIGINT AS chain, count(*) AS n FROM c GROUP BY user_id, chain""")
+def chained_groups(read):
+    e = read("events").select("user_id", F.struct("ts", "event_id").alias("at"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return segments.chained_groups(e, ["user_id"], "at", F.col("us"), F.lit(3_600_000_000)).groupBy("user_id", "chain").agg(F.count("*").alias("n"))
+
+
+@_query("""WITH RECURSIVE a AS (SELECT user_id, min(value) AS anchor FROM events WHERE value IS NOT NULL GROUP BY user_id
+UNION ALL SELECT user_id, anchor FROM (SELECT a.user_id, (SELECT min(value) FROM events e WHERE e.user_id = a.user_id AND e.value - a.anchor > 20) AS anchor FROM a) WHERE anchor IS NOT NULL)
+SELECT user_id, count(*) AS n_groups FROM a GROUP BY user_id""")
+def anchored_groups(read):
+    e = read("events").where("value is not null").groupBy("user_id").agg(F.array_sort(F.collect_list("value")).alias("v"))
+    return e.select("user_id", segments.anchored_group_count(F.col("v"), 20).alias("n_groups"))
+
+
+@_query("SELECT d.doc_id, d.source, CASE WHEN l.doc_id IS NOT NULL THEN l.quality END AS quality, CASE WHEN l.doc_id IS NOT NULL THEN l.toxic END AS toxic, l.doc_id IS NOT NULL AS labelled FROM documents d LEFT JOIN labels l USING (doc_id)")
+def left_override_merge(read):
+    return joins.left_override(read("documents").select("doc_id", "source"), read("labels"), ["doc_id"], "labelled").select("doc_id", "source", "quality", "toxic", "labelled")
+
+
+@_query("""SELECT coalesce(c.nation, s.nation) AS nation, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers FROM
+(SELECT c_nationkey AS nation, count(*) AS customers FROM customer GROUP BY 1) c FULL OUTER JOIN (SELECT s_nationkey AS nation, count(*) AS suppliers FROM supplier GROUP BY 1) s ON c.nation = s.nation""")
+def full_outer_merge(read):
+    c = read("customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers"))
+    s = read("supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("suppliers"))
+    return c.join(s, "nation", "full_outer").fillna(0, ["customers", "suppliers"])
+
+
+@_query("""WITH d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS position FROM documents),
+l AS (SELECT source, quality, toxic, row_number() OVER (PARTITION BY source ORDER BY l.doc_id) AS position FROM labels l JOIN documents USING (doc_id))
+SELECT source, position::INTEGER AS position, doc_id, quality, toxic FROM d LEFT JOIN l USING (source, position)""")
+def positional_join(read):
+    d = read("documents").select("source", "doc_id")
+    l = read("labels").join(d, "doc_id").select("source", F.col("doc_id").alias("l_id"), "quality", "toxic")
+    return joins.positional_join(d, l, ["source"], ["doc_id"], ["l_id"]).select("source", "position", "doc_id", "quality", "toxic")
+
+
+@_query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+b AS (SELECT m.o_custkey, m.o_orderkey AS marker, o.o_orderkey AS attached, o.n - m.n AS distance, min(CASE WHEN m.o_orderstatus = o.o_orderstatus THEN 1 ELSE 0 END) OVER (PARTITION BY m.o_custkey, m.o_orderkey ORDER BY o.n) AS ok
+FROM n m JOIN n o ON m.o_custkey = o.o_custkey AND o.n BETWEEN m.n + 1 AND m.n + 3 WHERE m.o_totalprice > 200000) SELECT o_custkey, marker, attached, distance FROM b WHERE ok = 1""")
+def range_attach(read):
+    o = read("orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
+    return joins.range_attach(o, ["o_custkey"], ["o_orderkey"], F.col("o_totalprice") > 200000, 3, "o_orderstatus", "o_orderkey")
+
+
+@_query("""WITH p AS (SELECT doc_id, i, ms[i] AS m FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+ [a-z]+') AS ms FROM documents), LATERAL (SELECT unnest(range(1, len(ms) + 1)) AS i))
+SELECT doc_id, number, word FROM (SELECT doc_id, split_part(m, ' ', 1) AS number, split_part(m, ' ', 2) AS word, row_number() OVER (PARTITION BY doc_id, split_part(m, ' ', 1) ORDER BY i DESC) AS r FROM p) WHERE r = 1""")
+def answer_pairs(read):
+    pairs = read("documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("([0-9]+ [a-z]+)"), 1)).alias("i", "m"))
+    pairs = pairs.select("doc_id", "i", F.split_part("m", F.lit(" "), F.lit(1)).alias("number"), F.split_part("m", F.lit(" "), F.lit(2)).alias("word"))
+    return segments.wins(pairs, ["doc_id", "number"], ["i"], ["word"], last=True)
+
+
+@_query("""SELECT kind, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN 'EMPTY' WHEN regexp_matches(text, '[A-Z]{4,}!') THEN 'SHOUT' WHEN regexp_matches(text, '[#$%&*]{3}') THEN 'NOISE'
+WHEN contains(text, '@') THEN 'CONTACT' WHEN contains(lower(text), 'license') THEN 'LICENSE' WHEN length(text) > 5000 THEN 'LONG' WHEN NOT contains(text, chr(10)) THEN 'LINE' ELSE 'PLAIN' END AS kind FROM documents) GROUP BY kind""")
+def type_cascade(read):
+    t = F.col("text")
+    kind = F.when(t.isNull() | (t == ""), "EMPTY").when(t.rlike("[A-Z]{4,}!"), "SHOUT").when(t.rlike("[#$%&*]{3}"), "NOISE").when(t.contains("@"), "CONTACT")
+    kind = kind.when(F.lower(t).contains("license"), "LICENSE").when(F.length(t) > 5000, "LONG").when(~t.contains("\n"), "LINE").otherwise("PLAIN")
+    return read("documents").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@_query("""WITH w AS (SELECT unnest(string_split(lower(text), ' ')) AS word FROM documents), c AS (SELECT word, count(*) AS n FROM w WHERE regexp_full_match(word, '[a-z]{3,}') GROUP BY word),
+r AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) - 1 AS position FROM c) SELECT word, n, (position // 40)::BIGINT AS page, (position % 40 // 20)::BIGINT AS "column", (position % 20)::BIGINT AS "row" FROM r WHERE position < 80""")
+def vocab_topk_pages(read):
+    words = read("documents").select(F.explode(F.split(F.lower("text"), " ")).alias("word")).where(F.col("word").rlike("^[a-z]{3,}$"))
+    top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(80)  # the 80 rows of the report
+    top = top.withColumn("position", F.row_number().over(Window.orderBy(F.desc("n"), "word")) - 1)
+    return layout.paged(top, "position", 40, 20).drop("position")
+
+
+@_query(f"""WITH n AS (SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders)
+SELECT o_custkey, (n // 10)::BIGINT AS chunk, {', '.join(f"max(CASE WHEN n % 10 = {k} THEN o_orderpriority END) AS a{k + 1}" for k in range(10))} FROM n GROUP BY o_custkey, n // 10""")
+def answer_key_chunks(read):
+    return layout.answer_rows(read("orders").select("o_custkey", "o_orderkey", "o_orderpriority"), ["o_custkey"], ["o_orderkey"], "o_orderpriority")
+
+
+@_query("SELECT conv_id, text, count(*) AS n FROM conversations GROUP BY conv_id, text HAVING count(*) > 1")
+def duplicate_choices(read):
+    return read("conversations").groupBy("conv_id", "text").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@_query("SELECT page_id, length(e) AS n_chars, md5(e) AS digest FROM (SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS e FROM pages)")
+def html_escape_markup(read):
+    e = escaped(F.col("html"))
+    return read("pages").select("page_id", F.length(e).cast("long").alias("n_chars"), F.md5(e.cast("binary")).alias("digest"))
+
+
+@_query(f"""WITH {_LINES}, w AS (SELECT doc_id, line_no, i, ws[i] AS word FROM (SELECT doc_id, line_no, string_split(line, ' ') AS ws FROM lines), LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS i)),
+x AS (SELECT *, coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id, line_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 6 AS x0 FROM w),
+b AS (SELECT unnest(range((x0 // 48)::BIGINT, ((x0 + length(word) * 6) // 48)::BIGINT + 1)) AS bin FROM x WHERE word <> '')
+SELECT bin, count(*) AS words FROM b GROUP BY bin""")
+def gutter_histogram(read):
+    w = layout.positioned_words(segments.lines_of(read("documents")), ["doc_id", "line_no"]).where("word <> ''")
+    return w.select(F.explode(F.sequence(F.floor(F.col("x0") / 48), F.floor(F.col("x1") / 48))).alias("bin")).groupBy("bin").agg(F.count("*").alias("words"))
+
+
+@_query(f"WITH {_LINES} SELECT doc_id, count(*) AS n_lines, sum(length(line))::BIGINT AS chars, md5(string_agg(line, chr(10) ORDER BY line_no)) AS digest FROM lines GROUP BY doc_id")
+def words_to_lines_roundtrip(read):
+    w = layout.positioned_words(segments.lines_of(read("documents")), ["doc_id", "line_no"])
+    lines = w.groupBy("doc_id", "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word_no", "word"))), lambda s: s["word"]), " ").alias("line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n")
+    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("chars"), F.md5(text.cast("binary")).alias("digest"))
