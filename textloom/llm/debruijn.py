@@ -28,7 +28,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORDS, Scratch, ascii_words, few, mix, signed, windows
+from .shared import Scratch, WORDS, ascii_words, few, mix, signed, tidy, windows
 
 #: Words of a minimizer.
 MINI = 8
@@ -102,7 +102,7 @@ def repeated_words(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text
                 names=["doc_id", "key", "n_words", "sha", "mini", "path", "start", "edges"],
             )
 
-    texts = s.keep(read.select("doc_id", "key", "text").mapInArrow(first, "doc_id long, key long, n_words long, sha string, mini array<long>, path array<long>, start array<int>, edges array<int>"), "texts")
+    texts = s.keep(read.select("doc_id", "key", "text").mapInArrow(tidy(first), "doc_id long, key long, n_words long, sha string, mini array<long>, path array<long>, start array<int>, edges array<int>"), "texts")
 
     at = texts.select("key", F.explode(F.arrays_zip("mini", "path", "start", "edges")).alias("p")).select("key", "p.*")
     counted = s.keep(at.groupBy("path", "mini").agg(F.count("*").alias("m")), "counted")
@@ -125,7 +125,7 @@ def repeated_words(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([pa.array(signed(runs.of(start, size))), pa.array(np.full(len(start), key)), pa.array(start.astype(np.int32)), pa.array(m.astype(np.int64))], names=["edge", "key", "start", "m"])
 
     named = read.select("key", "text").join(keys, "key", "left_semi").dropDuplicates(["key"]).join(one, "key")
-    edge = s.keep(named.select("key", "text", "p").mapInArrow(edges, "edge long, key long, start int, m long"), "edges")
+    edge = s.keep(named.select("key", "text", "p").mapInArrow(tidy(edges), "edge long, key long, start int, m long"), "edges")
     twice = edge.groupBy("edge").agg(F.sum("m").alias("all")).where("`all` > 1").select("edge")
     loose = edge.where("m = 1").join(twice, "edge").select("key", "start", F.lit(1).alias("edges"))
     spans = found.where("m > 1").select("key", "start", "edges").unionByName(loose)
@@ -147,6 +147,6 @@ def repeated_words(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     touched = read.join(hit, "key", "left_semi").join(spans, "key").select("doc_id", "text", "p")
-    touched = touched.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    touched = touched.mapInArrow(tidy(cut), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     rest = texts.select("doc_id", "key", "n_words", "sha").join(hit, "key", "left_anti")
     return touched.unionByName(rest.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256")))

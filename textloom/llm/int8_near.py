@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, components
+from .shared import Scratch, components, tidy
 
 #: Distinct vectors of a tile, on average.
 TILE = 512
@@ -93,7 +93,7 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             yield pa.RecordBatch.from_arrays([b["vec_id"], b["label"], pa.array(out, pa.binary())], names=["vec_id", "label", "data"])
 
     read = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = s.keep(read.mapInArrow(clean, "vec_id long, label string, data binary").withColumn("dim", F.coalesce((F.length("data") / 8).cast("int"), F.lit(0))), "rows")
+    rows = s.keep(read.mapInArrow(tidy(clean), "vec_id long, label string, data binary").withColumn("dim", F.coalesce((F.length("data") / 8).cast("int"), F.lit(0))), "rows")
     # a vector stands for its equals; node is a hash of label and components
     node = F.xxhash64("label", "data")
     distinct = s.keep(rows.where("data is not null").groupBy("label", "dim", "data").agg(F.count("*").alias("copies")).withColumn("node", node), "distinct")
@@ -141,7 +141,7 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 to = pa.array(np.concatenate([np.zeros(len(a) + len(c), np.int64), nodes[e[:, 1]]]), mask=np.r_[np.ones(len(a) + len(c), bool), np.zeros(len(e), bool)])
                 yield pa.RecordBatch.from_arrays([pa.array(out_node), pa.array(out_links), to], names=["node", "links", "other"])
 
-    found = s.keep(pairs.repartition("nodes", "nodes2").mapInArrow(product, "node long, links long, other long"), "found")
+    found = s.keep(pairs.repartition("nodes", "nodes2").mapInArrow(tidy(product), "node long, links long, other long"), "found")
     links = found.where("other is not null and node <> other").select(F.col("node").alias("a"), F.col("other").alias("b"))
     label = s.keep(components(s, links), "label")
     count = found.groupBy("node").agg(F.sum("links").alias("links"))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, components, few, group_starts, mix, shingles, signed, whole_groups
+from .shared import Scratch, components, few, group_starts, mix, shingles, signed, tidy, whole_groups
 
 #: Most members of a file that one task compares with each other.
 BLOCK = 1024
@@ -130,7 +130,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, n_words: int, percent:
             )
 
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
-    return read.mapInArrow(run, "doc_id long, text_hash long, n int, node long, filed array<struct<c:int,home:boolean,sigs:array<bigint>>>, bitmap binary")
+    return read.mapInArrow(tidy(run), "doc_id long, text_hash long, n int, node long, filed array<struct<c:int,home:boolean,sigs:array<bigint>>>, bitmap binary")
 
 
 _FILED = pa.list_(pa.struct([("c", pa.int32()), ("home", pa.bool_()), ("sigs", pa.list_(pa.int64()))]))
@@ -342,7 +342,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = F.ceil(F.col("cnt") / BLOCK)
     first = filed.withColumn("block", F.pmod(F.xxhash64("node", "sig"), blocks).cast("int")).join(maps, "node")
     first = first.repartition("c", "sig", "block").sortWithinPartitions("c", "sig", "block", "n", "node")
-    tried = s.keep(first.select("c", "sig", "block", "n", "node", "home", "bitmap").mapInArrow(_first_partners(percent), _PAIRS).distinct(), "tried")
+    tried = s.keep(first.select("c", "sig", "block", "n", "node", "home", "bitmap").mapInArrow(tidy(_first_partners(percent)), _PAIRS).distinct(), "tried")
     links = s.keep(_decided(s, docs, sketch, text_col, tried, n_words, percent, "first"), "links1")
 
     if filed.limit(1).count():
@@ -363,7 +363,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         now = now.withColumn("o", F.explode(others))
         now = now.select("c", "sig", F.least("b", "o").cast("int").alias("bi"), F.greatest("b", "o").cast("int").alias("bj"), (F.col("b") > F.col("o")).cast("int").alias("side"), "n", "node", "home", "comp")
         now = now.join(maps, "node").repartition("c", "sig", "bi", "bj").sortWithinPartitions("c", "sig", "bi", "bj", "side", "n", "node")
-        more = now.select("c", "sig", "bi", "bj", "side", "n", "node", "home", "comp", "bitmap").mapInArrow(_across(percent), _PAIRS).distinct()
+        more = now.select("c", "sig", "bi", "bj", "side", "n", "node", "home", "comp", "bitmap").mapInArrow(tidy(_across(percent)), _PAIRS).distinct()
         more = s.keep(more.join(tried, ["a", "b"], "left_anti"), "more")
         links2 = s.keep(_decided(s, docs, sketch, text_col, more, n_words, percent, "second"), "links2")
         links = links.unionByName(links2)
@@ -387,7 +387,7 @@ def _decided(s: Scratch, docs: DataFrame, sketch: DataFrame, text_col: str, pair
             yield pa.RecordBatch.from_arrays([b["node"], pa.array(out, pa.binary())], names=["node", "h"])
 
     found = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text")).join(texts, "text_hash").dropDuplicates(["node"])
-    sets_ = s.keep(found.select("node", "text").mapInArrow(sets, "node long, h binary"), f"{name}_sets")
+    sets_ = s.keep(found.select("node", "text").mapInArrow(tidy(sets), "node long, h binary"), f"{name}_sets")
 
     def decide(batches):
         for b in batches:
@@ -400,7 +400,7 @@ def _decided(s: Scratch, docs: DataFrame, sketch: DataFrame, text_col: str, pair
             yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(sets_.select(F.col("node").alias("a"), F.col("h").alias("x")), "a").join(sets_.select(F.col("node").alias("b"), F.col("h").alias("y")), "b")
-    out = s.keep(both.select("a", "b", "x", "y").mapInArrow(decide, _PAIRS), f"{name}_links", batch=500)
+    out = s.keep(both.select("a", "b", "x", "y").mapInArrow(tidy(decide), _PAIRS), f"{name}_links", batch=500)
     s.drop(f"{name}_texts", f"{name}_sets")
     return out
 

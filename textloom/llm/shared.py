@@ -9,6 +9,8 @@ back, so a lost executor costs at most the step that was running.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -84,10 +86,27 @@ def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def tidy(run):
+    """A mapInArrow function that gives freed memory back to the system when its task ends.
+
+    Python workers are used again by later tasks, and their allocators would
+    keep what the largest task so far has needed.
+    """
+
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 class WordHashes(dict):
     """64-bit hashes of words; emptied when full so that memory stays bounded."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
@@ -240,7 +259,7 @@ def summed_blocks(parts: DataFrame, length: int, blocks: int) -> np.ndarray:
 
     out = np.zeros(length)
     step = -(-length // blocks)
-    for r in parts.repartition("block").mapInArrow(add, "block int, data binary").collect():
+    for r in parts.repartition("block").mapInArrow(tidy(add), "block int, data binary").collect():
         out[r["block"] * step : r["block"] * step + len(r["data"]) // 8] += np.frombuffer(bytes(r["data"]), np.float64)
     return out
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORDS
+from .shared import WORDS, tidy
 
 _P, _M = np.uint64(1099511628211), np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of a text handled at once; longer texts are taken in overlapping pieces.
@@ -72,7 +72,7 @@ def fitted(sample: DataFrame, fit) -> list[np.ndarray]:
         made = fit([t for t, _ in rows], np.array([y for _, y in rows], np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(range(len(made)), pa.int32()), pa.array([np.asarray(a, "<f4").tobytes() for a in made], pa.binary())], names=["k", "data"])
 
-    got = sorted(sample.repartition(1).mapInArrow(run, "k int, data binary").collect())
+    got = sorted(sample.repartition(1).mapInArrow(tidy(run), "k int, data binary").collect())
     # a sample without rows may have no task
     return [np.frombuffer(bytes(r["data"]), "<f4") for r in got] or [np.asarray(a, "<f4") for a in fit([], np.empty(0, np.int64))]
 
@@ -96,4 +96,4 @@ def scored(docs: DataFrame, score, id_col: str = "doc_id", text_col: str = "text
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(score(b["text"]), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, score double")

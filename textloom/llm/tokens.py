@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_folder
+from .shared import shared_folder, tidy
 
 #: A space between two characters that are no white space: the tokenizer's
 #: pre-tokenizer always cuts before it, so the pieces are encoded alone.
@@ -207,7 +207,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
             yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "docs": pa.array([len(ids)], pa.int64()), "ids": pa.array([sum(sizes)], pa.int64()), "width": pa.array([enc.type.itemsize], pa.int32())})
 
     # one row for each shard
-    parts = sorted((r.asDict() for r in rows.mapInArrow(run, "shard int, docs long, ids long, width int").collect()), key=lambda r: r["shard"])
+    parts = sorted((r.asDict() for r in rows.mapInArrow(tidy(run), "shard int, docs long, ids long, width int").collect()), key=lambda r: r["shard"])
     bases = [0, *accumulate(p["ids"] for p in parts)]
     parts = [p | {"base": b} for p, b in zip(parts, bases, strict=False)]
 
@@ -251,7 +251,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                         "ids_crc32": pa.array(crc, pa.int64()), "shard": pa.array([p["shard"]] * (hi - lo), pa.int32()),
                     })
 
-    return spark.range(0, len(parts), 1, len(parts)).mapInArrow(run, schema)
+    return spark.range(0, len(parts), 1, len(parts)).mapInArrow(tidy(run), schema)
 
 
 def token_ids(spark: SparkSession, folder: str, shard: int) -> np.ndarray:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, mix, windows
+from .shared import Scratch, mix, tidy, windows
 
 ORDER, BITS = 5, 17
 PRIOR = 1.0
@@ -142,7 +142,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
     rows = s.keep(rows.withColumn("rule", rule).withColumn("verdict", verdict), "rows")
 
     known = rows.where("verdict is not null").withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)))
-    found = known.where("fold <> 0").select("url", "host", "path", "verdict").mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = known.where("fold <> 0").select("url", "host", "path", "verdict").mapInArrow(tidy(_counted), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     counts = np.zeros(2 * 2 * (ORDER + 1) << BITS)
     got = found.toArrow()  # at most 2 * 2 * (ORDER + 1) * 2**BITS rows, whatever the data
     counts[got["slot"].to_numpy()] = got["n"].to_numpy()
@@ -154,7 +154,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.ratios(_text(b)))], names=[*b.schema.names, "score"])
 
-    rated = rows.mapInArrow(score, "page_id long, url string, host string, path string, rule string, verdict string, score double")
+    rated = rows.mapInArrow(tidy(score), "page_id long, url string, host string, path string, rule string, verdict string, score double")
     rated = s.keep(rated, "rated")
     s.drop("rows")
     if models.counts[0, 1, 0].any() and models.counts[1, 1, 0].any():
