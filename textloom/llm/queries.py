@@ -69,6 +69,17 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_jaccard_join, op4_embedding_neighbours, op5_url_filter, op6_substring_dedup, op7_toxicity, op8_quality, op9_mixing, op10_sharding)}
 
 ORACLE_SQL = {
+    "op6_substring_dedup": """
+        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        runs AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS run FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 33)) AS i)),
+        twice AS (SELECT run FROM runs GROUP BY run HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT doc_id, i + j AS i FROM runs SEMI JOIN twice USING (run), (SELECT unnest(range(0, 35)) AS j)),
+        words AS (SELECT doc_id, i, ws[i] AS word FROM w, LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS i)),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+        lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+        FROM w LEFT JOIN kept k USING (doc_id) LEFT JOIN lost USING (doc_id)
+    """,
     "op9_mixing": """
         WITH sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
         sums AS (SELECT (SELECT count(*) FROM documents)::DOUBLE / count(*)::DOUBLE AS scale FROM sizes),
