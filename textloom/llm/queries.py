@@ -69,6 +69,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_jaccard_join, op4_embedding_neighbours, op5_url_filter, op6_substring_dedup, op7_toxicity, op8_quality, op9_mixing, op10_sharding)}
 
 ORACLE_SQL = {
+    "op4_embedding_neighbours": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+        n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM comp LEFT JOIN n USING (vec_id)
+    """,
     "op6_substring_dedup": """
         WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
         runs AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS run FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 33)) AS i)),
