@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, even if lambdas in it use it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def stripped(c: Column) -> Column:
     """Without white space, Unicode's included, at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
