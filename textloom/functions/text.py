@@ -24,9 +24,9 @@ def ascii_share(c: Column) -> Column:
 
 
 def is_english_line(c: Column) -> Column:
-    """At least four characters after stripping, one of them a letter or digit, over 70 % of them ASCII."""
+    """At least four characters after stripping, over 70 % of them ASCII."""
     s = stripped(c)
-    return F.coalesce((F.length(s) >= 4) & s.rlike(r"[\p{L}\p{N}]") & (ascii_share(s) > 0.7), F.lit(False))
+    return F.coalesce((F.length(s) >= 4) & (ascii_share(s) > 0.7), F.lit(False))
 
 
 def tidied(c: Column) -> Column:

@@ -27,7 +27,7 @@ def _query(sql: str):
 
 _LINES = "lines AS (SELECT doc_id, lang, i - 1 AS line_no, ls[i] AS line FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS ls FROM documents), LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i))"
 _STRIPPED = "regexp_replace(line, '^\\s+|\\s+$', '', 'g')"
-_ENGLISH = f"(length({_STRIPPED}) >= 4 AND regexp_matches({_STRIPPED}, '[\\p{{L}}\\p{{N}}]') AND length(regexp_replace({_STRIPPED}, '[^\\x00-\\x7F]', '', 'g'))::DOUBLE / length({_STRIPPED}) > 0.7)"
+_ENGLISH = f"(length({_STRIPPED}) >= 4 AND length(regexp_replace({_STRIPPED}, '[^\\x00-\\x7F]', '', 'g'))::DOUBLE / length({_STRIPPED}) > 0.7)"
 
 
 @_query(f"WITH {_LINES} SELECT lang, count(*) AS n_lines, count(*) FILTER (WHERE {_ENGLISH}) AS n_english FROM lines GROUP BY lang")
