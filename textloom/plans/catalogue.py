@@ -7,19 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.korean import BREAKS, aligned_paragraphs, break_score
 from textloom.functions.text import escaped, is_english_line, stripped, tidied
-from textloom.operators import joins, layout, segments
+from textloom.operators import columns, exams, items, joins, layout, lines, markup, segments, sheets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def _query(sql: str):
+def _query(sql: str | None):
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
-        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = run, sql
+        QUERIES[f.__name__] = run
+        if sql:  # else the query is tested against a brute-force version
+            ORACLE_SQL[f.__name__] = sql
         return f
 
     return add
@@ -192,3 +195,85 @@ def words_to_lines_roundtrip(read):
     lines = w.groupBy("doc_id", "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word_no", "word"))), lambda s: s["word"]), " ").alias("line"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n")
     return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("chars"), F.md5(text.cast("binary")).alias("digest"))
+
+
+_SCORE = "CASE " + " ".join(f"WHEN regexp_matches(word, '(?:{e})$') THEN {n}" for n, e in BREAKS) + " ELSE 0 END"
+
+
+@_query(f"WITH w AS (SELECT lang, unnest(string_split(replace(text, chr(10), ' '), ' ')) AS word FROM documents) SELECT lang, ({_SCORE})::INTEGER AS score, count(*) AS n FROM w WHERE word <> '' GROUP BY ALL")
+def break_scores(read):
+    words = read("documents").select("lang", F.explode(F.split("text", "[ \n]")).alias("word")).where("word <> ''")
+    return words.groupBy("lang", break_score(F.col("word")).alias("score")).agg(F.count("*").alias("n"))
+
+
+@_query(None)
+def paragraph_alignment(read):
+    lines_apart, in_one = F.replace("text", F.lit("\n"), F.lit("\n\n")), F.replace("text", F.lit("\n"), F.lit(" "))
+    told = aligned_paragraphs(lines_apart, in_one)
+    return read("documents").select("doc_id", F.size(F.split(told, "\n\n")).alias("paragraphs"), F.md5(told.cast("binary")).alias("digest"))
+
+
+_WORDS = f"""{_LINES}, w AS (SELECT doc_id, line_no, i, ws[i] AS word FROM (SELECT doc_id, line_no, string_split(line, ' ') AS ws FROM lines), LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS i)),
+x AS (SELECT *, (coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id, line_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 6)::BIGINT AS x0 FROM w)"""
+
+
+def _page_words(read) -> DataFrame:
+    """Words of documents set in a fixed pitch, as a page of 612 points each."""
+    w = layout.positioned_words(segments.lines_of(read("documents")), ["doc_id", "line_no"]).where("word <> ''")
+    return w.select("doc_id", "x0", "x1", (F.col("line_no") + 200).alias("y0"), F.lit(612).alias("page_width"))
+
+
+@_query(f"""WITH {_WORDS}, c AS (SELECT doc_id, unnest(range(greatest(0, x0 // 4), least(154, (x0 + length(word) * 6) // 4) + 1)) AS bin, length(word) * 6 <= 306 AS plain FROM x WHERE word <> ''),
+b AS (SELECT doc_id, bin, count(*) FILTER (WHERE plain) AS p, count(*) AS e FROM c GROUP BY ALL), m AS (SELECT doc_id, max(p) AS p, max(e) AS e FROM b GROUP BY doc_id),
+g AS (SELECT m.doc_id, i AS bin, coalesce(CASE WHEN m.p > 0 THEN b.p ELSE b.e END, 0) AS n, CASE WHEN m.p > 0 THEN m.p ELSE m.e END AS most FROM m CROSS JOIN (SELECT unnest(range(15, 140)) AS i) LEFT JOIN b ON b.doc_id = m.doc_id AND b.bin = i),
+v AS (SELECT doc_id, bin, n, bin - row_number() OVER (PARTITION BY doc_id ORDER BY bin) AS valley FROM g WHERE n < most * 0.3), l AS (SELECT *, min(n) OVER (PARTITION BY doc_id, valley) AS low, count(*) OVER (PARTITION BY doc_id, valley) AS bins FROM v),
+k AS (SELECT doc_id, valley, bin, bin - row_number() OVER (PARTITION BY doc_id, valley ORDER BY bin) AS run FROM l WHERE n = low AND bins * 4 >= 8), r AS (SELECT doc_id, valley, run, count(*) AS len, min(bin) AS a, max(bin) AS z FROM k GROUP BY ALL),
+t AS (SELECT doc_id, (a + z) / 2 * 4 AS x FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, valley ORDER BY len DESC, a) AS best FROM r) WHERE best = 1),
+e AS (SELECT *, coalesce(lag(x) OVER (PARTITION BY doc_id ORDER BY x), 60) AS before, coalesce(lead(x) OVER (PARTITION BY doc_id ORDER BY x), 552) AS after FROM t) SELECT doc_id, x::DOUBLE AS gutter FROM e WHERE x - before >= 90 AND after - x >= 90""")
+def density_columns(read):
+    return lines.density_gutters(_page_words(read), ["doc_id"]).select("doc_id", F.explode("gutters").alias("gutter"))
+
+
+@_query(f"""WITH {_WORDS}, c AS (SELECT DISTINCT doc_id, unnest(range(x0, least(612, x0 + length(word) * 6) + 1)) AS px FROM x WHERE word <> '' AND x0 <= 612),
+s AS (SELECT doc_id, px, lead(px) OVER (PARTITION BY doc_id ORDER BY px) AS nxt FROM c), d AS (SELECT doc_id, min(px) AS l, max(px) + 1 AS r, count(*) FILTER (WHERE nxt > px + 1) + (min(px) > 0)::INT + (max(px) < 612)::INT AS blanks FROM s GROUP BY doc_id),
+m AS (SELECT s.doc_id, (px + 1 + nxt) / 2 AS x, l, r FROM s JOIN d USING (doc_id) WHERE nxt - px - 1 >= 10 AND blanks >= 2),
+e AS (SELECT doc_id, x, coalesce(lag(x) OVER (PARTITION BY doc_id ORDER BY x), l) AS before, coalesce(lead(x) OVER (PARTITION BY doc_id ORDER BY x), r) AS after FROM m) SELECT doc_id, x::DOUBLE AS gutter FROM e WHERE x - before >= 120 AND after - x >= 120""")
+def coverage_columns(read):
+    return columns.gutters(_page_words(read), ["doc_id"]).select("doc_id", F.explode("gutters").alias("gutter"))
+
+
+@_query("""SELECT type, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(text, '_{3,}') THEN 'FILL' WHEN regexp_matches(text, '\\(\\s*A\\s*\\)') AND regexp_matches(text, '\\(\\s*B\\s*\\)') AND regexp_matches(text, '\\(\\s*C\\s*\\)')
+AND NOT regexp_matches(text, '\\(\\s*D\\s*\\)') THEN 'REORDER' ELSE 'AS_IS' END AS type FROM documents) GROUP BY type""")
+def item_types(read):
+    texts = F.coalesce(F.split("text", "\n"), F.array().cast("array<string>"))
+    asked = read("documents").select(texts.alias("ls")).withColumn("asked", items.instruction(F.col("ls")))
+    return asked.groupBy(items.item_type(F.col("ls"), F.col("asked")).alias("type")).agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {_LINES} SELECT doc_id, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY line_no)) AS digest FROM lines WHERE NOT regexp_full_match({_STRIPPED}, '[0-9]{{1,2}}') GROUP BY doc_id")
+def untitled_translations(read):
+    told = read("documents").select("doc_id", exams.translation_of(F.split("text", "\n")).alias("t")).where("size(t) > 0")
+    return told.select("doc_id", F.size("t").cast("long").alias("n_lines"), F.md5(F.array_join("t", "\n").cast("binary")).alias("digest"))
+
+
+@_query("""WITH s AS (SELECT conv_id, turn, role = 'system' AS divider, length(text) < 80 AS spacer, CASE WHEN role <> 'system' THEN role END AS named FROM conversations),
+p AS (SELECT *, sum(divider::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS part FROM s), b AS (SELECT *, last_value(named IGNORE NULLS) OVER (PARTITION BY conv_id, part ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p),
+n AS (SELECT *, named IS NOT NULL AND named IS DISTINCT FROM before AS new FROM b), r AS (SELECT *, sum((divider OR new)::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS run, 1 + sum((divider OR (new AND before IS NOT NULL))::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS page FROM n)
+SELECT conv_id, turn, page::BIGINT AS page, CASE WHEN NOT divider AND NOT spacer THEN lpad(sum((NOT divider AND NOT spacer)::INT) OVER (PARTITION BY conv_id, run ORDER BY turn)::VARCHAR, 2, '0') END AS num FROM r""")
+def sentence_numbers(read):
+    s = read("conversations").select("conv_id", "turn", F.col("role").alias("section"), (F.length("text") < 80).alias("spacer"), (F.col("role") == "system").alias("divider"))
+    return sheets.sentence_rows(s, "conv_id", "turn").select("conv_id", "turn", "page", "num")
+
+
+@_query("""WITH w AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS n, ceil(count(*) OVER (PARTITION BY p_brand) / 40) AS pages FROM part), m AS (SELECT * FROM (VALUES (0, 'en_to_ko'), (1, 'ko_to_en'), (2, 'vocab_list')) AS v(k, mode))
+SELECT p_brand, mode, (k * pages + n // 40 + 1)::BIGINT AS page, (n % 40 // 20)::BIGINT AS "column", (n % 20)::BIGINT AS "row", p_partkey AS num, CASE WHEN mode = 'ko_to_en' THEN '' ELSE p_name END AS en, CASE WHEN mode = 'en_to_ko' THEN '' ELSE p_type END AS ko FROM w, m""")
+def vocabulary_sheets(read):
+    words = read("part").select("p_brand", F.col("p_partkey").alias("num"), F.col("p_name").alias("en"), F.col("p_type").alias("ko"))
+    return sheets.vocabulary_rows(words, "p_brand", "num").drop("heading")
+
+
+@_query(None)
+def highlight_runs(read):
+    phrases = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(c).alias("color")) for p, c in (("the", "red"), ("of the", "blue"), ("and", "green"))])
+    marked = markup.highlighted(read("conversations").withColumn("phrases", phrases), "text", "phrases")
+    return marked.select("conv_id", "turn", F.explode("runs").alias("r")).select("conv_id", "turn", "r.start", "r.end", "r.color")
