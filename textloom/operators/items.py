@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.korean import aligned_paragraphs, has_hangul, loose_spacing
+from textloom.functions.morphology import Maker, joined_wraps
 from textloom.functions.text import is_english_line, let, stripped
 from textloom.operators import handlers
 from textloom.operators.segments import wins
@@ -141,9 +142,12 @@ def _lines(rows) -> list[handlers.Line]:
     return [handlers.Line(r["text"] or "", bool(r["is_break"])) for r in rows]
 
 
-def extracted(book: DataFrame, doc: str) -> DataFrame:
+def extracted(book: DataFrame, doc: str, analyzer: Maker | None = None) -> DataFrame:
     """Adds passage, translation and topic to classified items.
 
+    With an analyzer, words of translations and topics that line ends parted
+    are joined too.
+
     Items of a set of three or more take the set's order, that of its first
     item which gives one (its own if it is alone), when all blocks of the
     passage are there.  Translations follow the paragraphs of their passages.
@@ -170,7 +174,8 @@ def extracted(book: DataFrame, doc: str) -> DataFrame:
     parted = F.when((F.instr(told, "→") > 0) & (head != "") & (tail != ""), F.concat(head, F.lit("\n\n→ "), tail)).otherwise(told)
     told = F.when(F.col("x.then") == "labels", unlabelled).when(F.col("x.then") == "arrow", parted).otherwise(told)
     out = got.select(*book.columns, F.col("x.passage").alias("passage"), told.alias("translation"), F.col("x.topic").alias("topic"))
-    return out.withColumn("translation", loose_spacing(F.col("translation"))).withColumn("topic", loose_spacing(F.col("topic")))
+    whole = lambda c: joined_wraps(loose_spacing(F.col(c)), analyzer) if analyzer else loose_spacing(F.col(c))
+    return out.withColumn("translation", whole("translation")).withColumn("topic", whole("topic"))
 
 
 def printable(extracts: DataFrame, doc: str) -> DataFrame:
