@@ -99,3 +99,12 @@ def test_arrivals(spark, tmp_path):
     stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
     arrivals.applied(stream, lambda d: d.where("id > 1"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_wrapped():
+    words = " ".join(["word"] * 60)
+    for line in (words, "가" * 200, "a", "", f"{'x' * 150} {words} {'나' * 60}"):
+        pieces = pdf.wrapped(line)
+        assert all(sum(1 + (c >= "\x80") for c in x) <= 102 for x in pieces)
+        assert "".join(pieces).replace(" ", "") == line.replace(" ", "")
+    assert pdf.wrapped(words)[0] == " ".join(["word"] * 20)

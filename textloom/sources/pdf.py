@@ -16,16 +16,34 @@ from pyspark.sql import functions as F
 PAGE, MARGIN, SIZE, LEADING = (595, 842), 42, 10, 14
 
 
+def wrapped(line: str) -> list[str]:
+    """A line in pieces as wide as a page, parted at blanks where there are any; letters outside ASCII are twice as wide."""
+    room, out = 2 * (PAGE[0] - 2 * MARGIN) // SIZE, []
+    start = width = 0
+    blank = -1
+    for k, c in enumerate(line):
+        width += 1 if c < "\x80" else 2
+        if c == " ":
+            blank = k
+        if width > room:
+            end = blank if blank > start else k
+            out.append(line[start:end])
+            start = end + (line[end] == " ")
+            width = sum(1 if x < "\x80" else 2 for x in line[start : k + 1])
+    return [*out, line[start:]]
+
+
 def pdf_of(pages: list[list[str]]) -> bytes:
-    """A file with the lines of each page; lines that do not fit go on on another page."""
+    """A file with the lines of each page; what does not fit goes on on another line or page."""
     fit = (PAGE[1] - 2 * MARGIN) // LEADING
+    pages = [[piece for line in p for piece in wrapped(line)] for p in pages]
     sheets = [p[k : k + fit] for p in pages for k in range(0, max(len(p), 1), fit)] or [[]]
     kids = [5 + 2 * k for k in range(len(sheets))]
     bodies = [
         b"<< /Type /Catalog /Pages 2 0 R >>",
         b"<< /Type /Pages /Count %d /Kids [%s] >>" % (len(sheets), b" ".join(b"%d 0 R" % k for k in kids)),
         b"<< /Type /Font /Subtype /Type0 /BaseFont /HYSMyeongJo-Medium /Encoding /UniKS-UTF16-H /DescendantFonts [4 0 R] >>",
-        b"<< /Type /Font /Subtype /CIDFontType0 /BaseFont /HYSMyeongJo-Medium /CIDSystemInfo << /Registry (Adobe) /Ordering (Korea1) /Supplement 2 >> /DW 1000"
+        b"<< /Type /Font /Subtype /CIDFontType0 /BaseFont /HYSMyeongJo-Medium /CIDSystemInfo << /Registry (Adobe) /Ordering (Korea1) /Supplement 2 >> /DW 1000 /W [1 95 500]"
         b" /FontDescriptor << /Type /FontDescriptor /FontName /HYSMyeongJo-Medium /Flags 6 /FontBBox [0 -148 1001 880] /ItalicAngle 0 /Ascent 752 /Descent -271 /CapHeight 737 /StemV 58 >> >>",
     ]
     for k, lines in zip(kids, sheets, strict=True):
