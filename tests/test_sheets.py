@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import sheets
+from textloom.operators import markup, sheets
 from textloom.sources import pdf, study
 from textloom.streaming import arrivals
 
@@ -108,3 +108,28 @@ def test_wrapped():
         assert all(sum(1 + (c >= "\x80") for c in x) <= 102 for x in pieces)
         assert "".join(pieces).replace(" ", "") == line.replace(" ", "")
     assert pdf.wrapped(words)[0] == " ".join(["word"] * 20)
+
+
+def test_english_markup(spark):
+    rows = [
+        ("A <b> of the old & new", True, [("of the old", "blue", "a"), ("old", "red", "b"), ("gone", "green", None)]),
+        ("plain & simple", False, []),
+        ("the man’s", None, [("man's", "pink", "c")]),
+    ]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "i int, en string, star boolean, h array<struct<phrase:string,color:string,label:string>>")
+    df = markup.highlighted(df.withColumn("p", F.transform("h", lambda x: F.struct(x["phrase"], x["color"]))), "en", "p")
+    got = df.select("i", sheets.english_markup(F.col("en"), F.col("runs"), F.col("star")).alias("m"), sheets.label_row(F.col("h")).alias("l"), sheets.highlight_misses(F.col("en"), F.col("h")).alias("x")).orderBy("i").collect()
+    assert [r.m for r in got] == [
+        '<font color="#cc0000">★ </font>A &lt;b&gt; <font color="#1a56cc"><b>of the </b></font><font color="#cc0000"><b>old</b></font> &amp; new',
+        "plain &amp; simple",
+        'the <font color="#000000"><b>man’s</b></font>',
+    ]
+    assert [r.x for r in got] == [["gone"], [], []] and got[1].l is None
+    assert got[2].l == '<font color="#000000" size="6.5"><b>[c]</b></font>'
+
+
+def test_passage_book_lines(spark):
+    items = spark.createDataFrame([("d", 2, "01", "003", "소재", "One.\n\nTwo.", "하나."), ("d", 5, "02", "001", "", "Only.", "")], "doc string, item bigint, lesson string, number string, topic string, passage string, translation string")
+    names = spark.createDataFrame([("d", "01", "목적")], "doc string, lesson string, title string")
+    got = [(r.page, r.row, r.text) for r in sheets.passage_book_lines(items, names, "doc").orderBy("page", "row").collect()]
+    assert got == [(2, 0, "01강 목적 003번"), (2, 1, "소재"), (2, 2, "One."), (2, 3, "Two."), (2, 4, "하나."), (5, 0, "02강 001번"), (5, 1, "Only.")]

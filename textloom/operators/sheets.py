@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.arrays import first_index
-from textloom.functions.text import let, stripped
+from textloom.functions.text import escaped, let, stripped
 from textloom.operators.layout import paged
 from textloom.operators.markup import answer_char, bad_answers, circled_map, underlined
 
@@ -16,6 +16,8 @@ VOCABULARY_PARTS = [("en_to_ko", "영어 → 한국어"), ("ko_to_en", "한국
 CONTINUED, STUDENT, FORECAST = "  (계속)", "_학생용", "_예상문제_"
 QUOTED = "밑줄\\s*친\\s*(\"[^\"]+\"|“[^”]+”|'[^']+'|‘[^’]+’)"
 ANSWER_LINES, ANSWER_LINE = 3, "_" * 58
+# Colours of highlights; others are black.
+COLORS = {"blue": "#1a56cc", "orange": "#e06c00", "green": "#1a7a3c", "red": "#cc0000"}
 
 
 def sentence_rows(sentences: DataFrame, doc: str, order: str) -> DataFrame:
@@ -43,6 +45,45 @@ def sentence_rows(sentences: DataFrame, doc: str, order: str) -> DataFrame:
     return x.withColumn("num", F.when(counted, digits)).drop("__part", "__before", "__run")
 
 
+def _code(color: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in COLORS.items() for x in kv]), color), F.lit("#000000"))
+
+
+def english_markup(text: Column, runs: Column, star: Column) -> Column:
+    """A sentence with its coloured runs (those of ``markup.highlighted``) and a star before it where it has one; the text is escaped."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(a: Column, r: Column) -> Column:
+        piece = lambda x, y: escaped(F.substring(text, x + 1, y - x))
+        run = F.concat(F.lit('<font color="'), _code(r["color"]), F.lit('"><b>'), piece(r["start"], r["end"]), F.lit("</b></font>"))
+        return F.struct(F.concat(a["out"], piece(a["at"], r["start"]), run).alias("out"), r["end"].alias("at"))
+
+    rest = lambda a: F.concat(a["out"], escaped(F.substring(text, a["at"] + 1, F.length(text))))
+    marked = F.aggregate(runs, start, step, rest)
+    return F.concat(F.when(star, f'<font color="{COLORS["red"]}">★ </font>').otherwise(""), marked)
+
+
+def label_row(highlights: Column) -> Column:
+    """The labels of highlights in their colours; null without any."""
+    tag = lambda h: F.concat(F.lit('<font color="'), _code(h["color"]), F.lit('" size="6.5"><b>['), F.coalesce(h["label"], F.lit("")), F.lit("]</b></font>"))
+    return F.when(F.size(highlights) > 0, F.array_join(F.transform(highlights, tag), "  "))
+
+
+def highlight_misses(text: Column, highlights: Column) -> Column:
+    """Phrases of highlights that are not in the text, even with other closing quotation marks."""
+    alike = lambda c: F.translate(c, '"’”', "'" * 3)
+    return F.transform(F.filter(highlights, lambda h: ~alike(text).contains(alike(h["phrase"]))), lambda h: h["phrase"])
+
+
+def passage_book_lines(printable: DataFrame, names: DataFrame, doc: str) -> DataFrame:
+    """(doc, page, row, text): a page for each item of ``items.printable``: lesson and number, topic, passage, translation."""
+    p = printable.join(names, [doc, "lesson"], "left")
+    head = F.concat(F.col("lesson"), F.lit("강 "), F.coalesce(F.concat(F.col("title"), F.lit(" ")), F.lit("")), F.col("number"), F.lit("번"))
+    parts = [F.array(head), F.when(F.col("topic") != "", F.array("topic")), F.split("passage", "\n\n"), F.when(F.col("translation") != "", F.split("translation", "\n\n"))]
+    lines = F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in parts])
+    return p.select(doc, F.col("item").cast("int").alias("page"), F.posexplode(lines).alias("row", "text"))
+
+
 def vocabulary_rows(words: DataFrame, doc: str, order: str, per_column: int = 20) -> DataFrame:
     """(doc, mode, heading, page, column, row, num, en, ko): a test of each direction and the list, each on pages of two columns.
 
