@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import pytest
@@ -32,16 +33,17 @@ def _aligned(source, words):
 
 
 def test_paragraph_alignment(spark):
-    sizes = {r.doc_id: r.paragraphs for r in catalogue.QUERIES["paragraph_alignment"](spark, FOLDER).collect()}
+    got = {r.doc_id: (r.paragraphs, r.digest) for r in catalogue.QUERIES["paragraph_alignment"](spark, FOLDER).collect()}
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()
     parted = 0
     for r in docs:
         source = [p for p in (r.text or "").split("\n") if p.strip()]
         words = (r.text or "").split()
         if len(source) > 1 and len(words) >= len(source):
-            assert sizes[r.doc_id] == len(_aligned(source, words)), r.doc_id
+            want = _aligned(source, words)
+            assert got[r.doc_id] == (len(want), hashlib.md5("\n\n".join(want).encode()).hexdigest()), r.doc_id
             parted += 1
-    assert len(sizes) == len(docs) and parted > 50
+    assert len(got) == len(docs) and parted > 50
 
 
 def test_highlight_runs(spark):
