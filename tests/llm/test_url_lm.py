@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -79,3 +80,53 @@ def test_ratios_against_brute_force():
 
 def test_no_rows(spark):
     assert m.filter_urls(spark.createDataFrame([], "page_id long, url string"), RULES).count() == 0
+
+
+def test_more_ngrams_than_slots_of_a_table(spark):
+    """Two lists of words, over 500,000 distinct runs: undecided URLs are told apart."""
+    rng = random.Random(7)
+    lists = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(12_000)] for _ in range(2)]
+    urls = []
+    for i in range(60_000):
+        side = i % 2
+        tail = "-".join(rng.choice(lists[side]) for _ in range(3))
+        urls.append((i, f"http://{['q.org', ['a.com', 'a.net'][side]][i % 12 > 1]}/{['item', 'es'][side] if i % 12 > 1 else 'es'}/{tail}"))
+    runs = np.unique(m._runs([u.split("://")[1] for _, u in urls])[0])
+    assert len(runs) > 4 * 131_072
+    right = [[], []]
+    for r in m.filter_urls(spark.createDataFrame(urls, "page_id long, url string").repartition(4), RULES).where("rule is null").collect():
+        right[r["page_id"] % 2].append(r["verdict"] == ("allow", "block")[r["page_id"] % 2])
+    assert len(right[0]) == len(right[1]) == 5_000
+    assert sum(np.mean(x) for x in right) / 2 >= 0.98
+
+
+def test_scores_against_brute_force_with_and_without_rare_runs(spark, monkeypatch):
+    rng = random.Random(8)
+    urls = [f"http://{rng.choice(['a.com', 'b.net', 'c.org'])}/{rng.choice(['es', 'fr', 'x'])}/" + "".join(rng.choices("abcdé", k=rng.randrange(12))) for _ in range(300)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3).cache()
+    side = {r["url"]: r["f"] for r in df.selectExpr("url", "pmod(xxhash64(url), 5) f").collect()}
+    text = lambda u: "" if not u else "".join(parse(u))
+    counts = [Counter(), Counter()]
+    for u in urls:
+        verdict = rule(*parse(u))[1]
+        if verdict is None or side[u] == 0:
+            continue
+        t = b"\x01" * m.ORDER + text(u).encode() + b"\x02"
+        for i in range(m.ORDER, len(t)):
+            for k in range(m.ORDER + 1):
+                counts[verdict == "block"].update([(k, t[i - k : i]), (k, t[i - k : i], t[i])])
+
+    def score(u):
+        t, total = b"\x01" * m.ORDER + text(u).encode() + b"\x02", 0.0
+        for i in range(m.ORDER, len(t)):
+            p = [1 / 256, 1 / 256]
+            for k in range(m.ORDER + 1):
+                p = [(c[k, t[i - k : i], t[i]] + m.PRIOR * q) / (c[k, t[i - k : i]] + m.PRIOR) for c, q in zip(counts, p, strict=True)]
+            total += math.log(p[0]) - math.log(p[1])
+        return total / (len(t) - m.ORDER)
+
+    want = [score(u) for u in urls]
+    for most in (1_000_000, 50, 0):
+        monkeypatch.setattr(m, "BROADCAST_ROWS", most)
+        got = {r["page_id"]: r["score"] for r in m.filter_urls(df, RULES).collect()}
+        assert len(got) == len(urls) and all(abs(got[i] - w) < 1e-9 for i, w in enumerate(want))
