@@ -6,7 +6,8 @@ characters: a context of up to ``ORDER`` characters is used as far as it has
 been seen, each order falling back on the next shorter one.  What no rule fits
 is allowed if the length-normalised difference of the log-likelihoods reaches a
 threshold calibrated on a held-out fifth of the examples (largest balanced
-accuracy).
+accuracy).  The models see host and path, without what follows ``?`` or ``#``
+(a URL without a host is taken whole); the README has figures for both.
 
 All that the models say of a character follows from it and the ``ORDER`` before
 it.  Such a run fits an integer, so counts are exact: a table of the runs of the
