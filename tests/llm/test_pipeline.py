@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -34,3 +35,16 @@ def test_stages_one_by_one(spark, tmp_path):
             assert all(r["shard"] == place(sharding.even_tree(8), r["doc_id"]) for r in docs.collect())
             assert len(kept[name]) == len(before)
     assert Counter(r["doc_id"] for r in corpus_pipeline.run(spark, FOLDER).collect()) == Counter(kept["sharding"])
+
+
+def test_stages_act_on_rows_where_ids_repeat_or_are_null(spark):
+    rng = random.Random(3)
+    a, b, c, d = (" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(4))
+    schema = "doc_id long, text string, lang string"
+    rows = [(1, a, "x"), (1, a, "x"), (None, a + " z", "x"), (None, b, "x"), (None, b, "x"), (0, c, "x"), (2, c, "x"), (2, d, "x"), (5, "", "x"), (5, "", "x"), (6, None, "x")]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, schema).repartition(4), FOLDER)
+    assert Counter(map(tuple, kept.collect())) == Counter([(1, a, "x"), (None, b, "x"), (0, c, "x"), (2, d, "x"), (5, "", "x"), (5, "", "x"), (6, None, "x")])
+    leak = d + " " + spark.read.parquet(f"{FOLDER}/benchmark.parquet").first()["text"] + " " + c
+    rows = [(None, leak, "x"), (None, a, "x"), (3, leak, "x"), (3, b, "x"), (3, b, "x"), (4, None, "x"), (None, None, "x")]
+    kept = corpus_pipeline.drop_leaks(spark, spark.createDataFrame(rows, schema).repartition(3), FOLDER)
+    assert Counter(map(tuple, kept.collect())) == Counter(r for r in rows if r[1] != leak)

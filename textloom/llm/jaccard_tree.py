@@ -34,7 +34,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, components, few, group_starts, mix, shingles, signed, tidy, whole_groups
@@ -320,6 +320,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whatever their ids; a null id stays null unless its component has another
     one.  Repeated ids are separate rows.  Other columns are ignored.
     """
+    whole = _labelled(docs, id_col, text_col, n_words, percent)
+    least = whole.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    return whole.join(least, "comp", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, n_words: int, percent: int) -> DataFrame:
+    """(comp, doc_id, text_hash, n), one row for each input row; comp is null where the set is empty."""
     spark = docs.sparkSession
     s = Scratch(spark, "jaccard")
     sketch = s.keep(sketches(docs, id_col, text_col, n_words, percent), "sketch")
@@ -370,9 +377,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = s.keep(components(s, links), "labels")
     s.drop("files", "maps", "used", "tried", "now", "more", "label")
 
-    whole = sketch.select("doc_id", "n", "node").join(label, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    least = whole.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return whole.join(least, "comp", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return sketch.select("doc_id", "text_hash", "n", "node").join(label, "node", "left").select(F.coalesce("component", "node").alias("comp"), "doc_id", "text_hash", "n")
 
 
 def _decided(s: Scratch, docs: DataFrame, sketch: DataFrame, text_col: str, pairs: DataFrame, n_words: int, percent: int, name: str) -> DataFrame:
@@ -406,8 +411,29 @@ def _decided(s: Scratch, docs: DataFrame, sketch: DataFrame, text_col: str, pair
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, without those that link to a smaller id.  Rows with a null id stay."""
+    """The rows of ``docs``, all columns, one of each group: that of the smallest id, null being the largest.
+
+    Rows are told apart by id and hash of the text; of several with the same of
+    both one stays.  Rows without words belong to no group and stay.
+    """
     s = Scratch(docs.sparkSession, "jaccard-kept")
-    near = near_duplicates(docs, id_col, text_col, n_words, percent)
-    gone = few(s.keep(near.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    key = ["__id", "__text"]
+    whole = _labelled(docs, id_col, text_col, n_words, percent).where("comp is not null")
+    rows = s.keep(whole.groupBy("comp", F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")).count(), "rows")
+    first = rows.groupBy("comp").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), *key)).alias("first"))
+    first = s.keep(first.select("first.__id", "first.__text"), "first")
+
+    def same(a: DataFrame, b: DataFrame) -> Column:
+        return a["__id"].eqNullSafe(b["__id"]) & (a["__text"] == b["__text"])
+
+    gone = few(s.keep(rows.join(first, same(rows, first), "left_anti").select(*key), "gone"))
+    several = rows.where("count > 1")
+    again = s.keep(several.join(first, same(several, first), "left_semi").select(*key), "again")
+    s.drop("rows", "first")
+    named = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__text", F.xxhash64(text_col))
+    kept = named.join(gone, same(named, gone), "left_anti")
+    if again.count():
+        again = few(again)
+        one = named.join(again, same(named, again), "left_semi").dropDuplicates(key)
+        kept = kept.join(again, same(kept, again), "left_anti").unionByName(one)
+    return kept.drop(*key)
