@@ -264,6 +264,32 @@ def summed_blocks(parts: DataFrame, length: int, blocks: int) -> np.ndarray:
     return out
 
 
+def summed_rows(parts: DataFrame, rows: int, width: int) -> np.ndarray:
+    """Sums of partial rows given as (k long, data binary of float32): an array of ``rows`` rows.
+
+    For sums of which a task has few rows; only the sums, of fixed size, come
+    to the driver.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, data in zip(b["k"].to_pylist(), b["data"].to_pylist(), strict=True):
+                v = np.frombuffer(data, np.float32).astype(np.float64)
+                if k in sums:
+                    sums[k] += v
+                else:
+                    sums[k] = v
+        if sums:
+            yield pa.RecordBatch.from_pydict({"k": pa.array(list(sums), pa.int64()), "data": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
+
+    out = np.zeros((rows, width))
+    got = parts.repartition("k").mapInArrow(tidy(add), "k long, data binary").toArrow()
+    for k, data in zip(got["k"].to_pylist(), got["data"].to_pylist(), strict=True):
+        out[k] = np.frombuffer(data, np.float64)
+    return out
+
+
 def blocks_of(vector: np.ndarray, blocks: int) -> pa.RecordBatch:
     """One partial vector as the rows that ``summed_blocks`` adds."""
     step = -(-len(vector) // blocks)
