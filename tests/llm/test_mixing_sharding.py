@@ -1,7 +1,12 @@
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
+from decimal import Decimal, getcontext
+
+import numpy as np
+import pytest
 
 from textloom.llm import mixing, sharding
 
@@ -19,10 +24,12 @@ def draws(rows, targets=None, total=None, seed=17):
         rate = weight[s] * ((total or len(rows)) / sum(weight.values())) / size[s]
         u, k, p = uniform(seed, d, hashlib.md5((t or "").encode()).hexdigest()), 0, math.exp(-rate)
         c = p
-        while c <= u and k < 10_000:
+        while rate < 500 and c <= u and k < 10_000:
             k += 1
             p *= rate / k
             c += p
+        if rate >= 500:  # exp(-rate) would vanish
+            k = exact_quantile(u, rate)
         out += [d] * (k if rate else 0)
     return Counter(out)
 
@@ -53,6 +60,81 @@ def test_many_sources_are_joined_by_a_shuffle(spark, monkeypatch):
     assert Counter(r["doc_id"] for r in mixing.mix_sources(df).collect()) == draws(ROWS)
 
 
+def exact_quantile(u, rate):
+    """The least k with P(X <= k) > u, by sums of probabilities of 50 digits from the mode outwards."""
+    getcontext().prec = 50
+    r, mode = Decimal(rate), int(rate)
+    if mode < 1000:
+        p = (-r).exp()
+        for k in range(1, mode + 1):
+            p *= r / k
+    else:  # Stirling's series
+        n = Decimal(mode)
+        pi = Decimal("3.14159265358979323846264338327950288419716939937510")
+        log = n * n.ln() - n + (2 * pi * n).ln() / 2 + 1 / (12 * n) - 1 / (360 * n**3) + 1 / (1260 * n**5)
+        p = (n * r.ln() - r - log).exp()
+    below, k, q, u = p, mode, p, Decimal(u)
+    while k > 0 and q > Decimal("1e-40"):
+        q *= k / r
+        k -= 1
+        below += q
+    if below > u:
+        k = mode
+        while k >= 0 and below > u:
+            below -= p
+            p *= k / r
+            k -= 1
+        return k + 1
+    k = mode
+    while below <= u:
+        k += 1
+        p *= r / k
+        below += p
+    return k
+
+
+@pytest.mark.parametrize("rate", [1e-9, 1e-3, 0.7, 1.0, 40.0, 1e3, 12_345.6, 1e8])
+def test_inversion_against_exact_quantiles(rate):
+    rng = random.Random(int(rate))
+    us = [2.0**-52, 0.5, 1 - 2.0**-52] + [rng.random() for _ in range(4 if rate > 1e6 else 40)]
+    assert mixing.poisson_quantile(np.array(us), rate).tolist() == [exact_quantile(u, rate) for u in us]
+
+
+def test_table_of_a_large_rate_is_small():
+    first, below, _ = mixing.poisson_table(1e8)
+    assert len(below) < 210_000 and first > 9e7
+    assert mixing.poisson_quantile(np.array([0.3]), 0.0).tolist() == mixing.poisson_quantile(np.array([0.3]), float("nan")).tolist() == [0]
+
+
+def test_a_source_of_few_documents_is_exploded_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 16)
+    rows = [(i, f"t{i}", "big") for i in range(2000)] + [(5000, "x", "small"), (5001, None, "small"), (None, "y", "small")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, mix_step int, mix_copy string")
+    got = mixing.mix_sources(df, {"big": 1.0, "small": 20.0}, 21_000).collect()
+    assert Counter(r["doc_id"] for r in got) == draws(rows, {"big": 1.0, "small": 20.0}, 21_000)
+    copies = defaultdict(list)
+    for r in got:
+        copies[r["doc_id"]].append(r["mix_copy"])
+    assert all(sorted(c) == list(range(len(c))) for c in copies.values())
+    assert min(len(copies[d]) for d in (5000, 5001, None)) > 6000
+
+
+def test_rows_are_read_once_for_the_shuffle(spark):
+    """The order is a hash: no range partitioning, whose sampling would run the explode twice."""
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, source string")
+    plan = mixing.mix_sources(df)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "hashpartitioning(mix_order" in plan
+
+
+def test_long_and_repeated_rows_with_clashing_columns(spark):
+    rows = [(1, "long " * 200_000, "a"), (2, "x", "b"), (2, "x", "b"), (3, "", "a"), (3, None, "a"), (None, None, None)]
+    names = ["mix_rate", "mix_copy", "mix_source", "mix_n", "mix_step", "mix_order"]
+    df = spark.createDataFrame([(*r, *range(6)) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    got = mixing.mix_sources(df, total=60).collect()
+    assert Counter(r["doc_id"] for r in got) == draws(rows, total=60)
+    assert all(len(r["text"]) == 1_000_000 for r in got if r["doc_id"] == 1)
+
+
 def place(node, key, seed=29):
     while node.children:
         kids = [c for c in node.children if c.total > 0]

@@ -6,19 +6,31 @@ number of documents.  The draw inverts the distribution at a uniform number
 made from a hash of seed, id and text, so a run that is repeated, or a task
 that runs again, draws the same.  Copies are exploded and shuffled globally by
 a hash of their own.
+
+A rate is inverted on a table of its distribution around the mean, some twenty
+standard deviations wide, made where it is needed and kept for the rates in
+use.  Documents of sources with a rate over ``HEAVY`` are exploded in steps of
+``CHUNK``, the first of which are dealt over all tasks, so neither a row nor a
+task grows with the number of copies of a document.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
+
+from .shared import Scratch
 
-#: Sources up to which their rates are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_SOURCES = 10_000
-_CDF_TAIL = 1e-15
+#: Sources, and bytes of their names, up to which their rates are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_SOURCES, BROADCAST_BYTES = 10_000, 16_000_000
+#: Rate from which on copies are exploded in steps, and copies of a step.
+HEAVY, CHUNK = 1000.0, 4096
 
 
 def uniform(*parts: Column) -> Column:
@@ -27,14 +39,45 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def poisson_cdf(rate: float) -> list[float]:
-    """P(X <= k) for k = 0, 1, ... until it is 1 but for the tail."""
-    out, total, k = [], 0.0, 0
-    while total < 1 - _CDF_TAIL and k < rate + 40 * math.sqrt(rate) + 40:
-        total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) if rate > 0 else 1.0
-        out.append(min(total, 1.0))
-        k += 1
-    return out
+@lru_cache(maxsize=64)
+def poisson_table(rate: float) -> tuple[int, np.ndarray, np.ndarray]:
+    """(first, P(X <= k), P(X > k)) for k from first on, around the mean; what lies outside has less than 1e-18.
+
+    Probabilities follow from that of the mode by ratios of neighbours and are
+    scaled to a sum of 1, so large rates lose no precision; each tail is summed
+    from its end.
+    """
+    width = 10 * np.sqrt(rate) + 60
+    first, mode = max(0, int(rate - width)), int(rate)
+    k = np.arange(first, int(rate + width) + 1, dtype=np.float64)
+    steps = np.log(rate) - np.log(k[1:]) if rate < 1000 else -np.log1p((k[1:] - rate) / rate)
+    log = np.concatenate([[0.0], np.cumsum(steps)])
+    p = np.exp(log - log[mode - first])
+    p /= p.sum()
+    return first, np.cumsum(p), np.append(np.cumsum(p[:0:-1])[::-1], 0.0)
+
+
+def poisson_quantile(u: np.ndarray, rate: float) -> np.ndarray:
+    """The least k with P(X <= k) > u; 0 for rates that are not positive."""
+    if not rate > 0:
+        return np.zeros(len(u), np.int64)
+    first, below, above = poisson_table(float(rate))
+    low = np.searchsorted(below, u, side="right")
+    high = len(above) - np.searchsorted(above[::-1], 1 - u, side="left")
+    return first + np.where(u < 0.5, low, high).clip(0, len(below) - 1)
+
+
+@F.pandas_udf(LongType())
+def _inverted(rate: pd.Series, u: pd.Series) -> pd.Series:
+    rate, u = rate.to_numpy(np.float64), u.to_numpy(np.float64)
+    out = np.zeros(len(u), np.int64)
+    for r in np.unique(rate):
+        out[rate == r] = poisson_quantile(u[rate == r], r)
+    return pd.Series(out)
+
+
+#: Called non-deterministic so that it is evaluated once for a row, not again in each filter on its result.
+_copies = _inverted.asNondeterministic()
 
 
 def rates(docs: DataFrame, targets: Mapping[str, float] | None, total: float | None, source_col: str) -> DataFrame:
@@ -60,25 +103,37 @@ def rates(docs: DataFrame, targets: Mapping[str, float] | None, total: float | N
 
 
 def mix_sources(docs: DataFrame, targets: Mapping[str, float] | None = None, total: float | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The input's columns with rows repeated or left out, in global random order, plus ``mix_rate`` and ``mix_copy`` (from 0).
+    """The input's columns with rows repeated or left out, in global random order, plus ``mix_rate`` and ``mix_copy`` (long, from 0).
 
     Repeated rows draw the same number, each for itself.  Null ids and texts
     read as '' in the hash.  No rows: none.  Columns of the input that are
-    called mix_rate, mix_copy, mix_source, mix_cdf, mix_u, mix_n or mix_order are dropped.
+    called mix_rate, mix_copy, mix_source, mix_n, mix_step or mix_order are dropped.
     """
-    base = docs.drop("mix_rate", "mix_copy", "mix_source", "mix_cdf", "mix_u", "mix_n", "mix_order")
-    rate = rates(base, targets, total, source_col)
-    u = uniform(F.lit(seed), F.col(id_col), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
-    known = rate.limit(BROADCAST_SOURCES + 1).collect()
-    if len(known) <= BROADCAST_SOURCES:
-        table = docs.sparkSession.createDataFrame([(r["source"], r["rate"], poisson_cdf(r["rate"])) for r in known], "mix_source string, mix_rate double, mix_cdf array<double>")
+    base = docs.drop("mix_rate", "mix_copy", "mix_source", "mix_n", "mix_step", "mix_order")
+    s = Scratch(docs.sparkSession, "mixing")
+    table = s.keep(rates(base, targets, total, source_col).select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate")), "rates")
+    size = table.agg(F.count("*"), F.sum(F.octet_length("mix_source")), F.max("mix_rate")).first()
+    if size[0] <= BROADCAST_SOURCES and (size[1] or 0) <= BROADCAST_BYTES:
         table = F.broadcast(table)
-    else:
-        cdf = F.udf(poisson_cdf, "array<double>")
-        table = rate.select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), cdf("rate").alias("mix_cdf"))
-    rows = base.join(table, F.col(source_col).cast("string").eqNullSafe(F.col("mix_source")))
-    count = F.size(F.filter("mix_cdf", lambda c: c <= F.col("mix_u")))
-    rows = rows.withColumn("mix_u", u).withColumn("mix_n", count).where("mix_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1)))
+    u = uniform(F.lit(seed), F.col(id_col), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+
+    def drawn(table: DataFrame) -> DataFrame:
+        rows = base.join(table, F.col(source_col).cast("string").eqNullSafe(F.col("mix_source")))
+        return rows.withColumn("mix_n", _copies(F.col("mix_rate"), u)).where("mix_n > 0")
+
+    rows = drawn(table.where(F.col("mix_rate") <= HEAVY)).withColumn("mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_n") - 1)))
+    if (size[2] or 0) > HEAVY:
+        # few documents, as a source's rate goes down with their number
+        heavy = drawn(table.where(F.col("mix_rate") > HEAVY)).withColumn("mix_step", F.lit(0).cast("long"))
+        for step in (CHUNK * CHUNK, CHUNK):
+            last = F.floor((F.col("mix_n") - 1 - F.col("mix_step")) / step)
+            last = F.least(last, F.lit(CHUNK - 1)) if step == CHUNK else last
+            heavy = heavy.withColumn("mix_step", F.explode(F.sequence(F.col("mix_step"), F.col("mix_step") + last * step, F.lit(step).cast("long"))))
+            heavy = heavy.repartition(F.xxhash64(id_col, "mix_step"))
+        last = F.least(F.lit(CHUNK).cast("long"), F.col("mix_n") - F.col("mix_step")) - 1
+        heavy = heavy.withColumn("mix_copy", F.explode(F.sequence("mix_step", F.col("mix_step") + last)))
+        rows = rows.unionByName(heavy.drop("mix_step"))
+    # the order is a hash, so dealing rows by it needs no sample of them
     order = F.xxhash64(F.lit(seed + 1), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col), F.col("mix_copy"))
-    rows = rows.withColumn("mix_order", order).repartitionByRange("mix_order").sortWithinPartitions("mix_order")
+    rows = rows.withColumn("mix_order", order).repartition("mix_order").sortWithinPartitions("mix_order")
     return rows.select(*base.columns, "mix_rate", "mix_copy")

@@ -57,7 +57,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_read(spark, sf_dir, "documents"))
+    return mixing.mix_sources(_read(spark, sf_dir, "documents")).withColumn("mix_copy", F.col("mix_copy").cast("int"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
