@@ -159,6 +159,30 @@ def test_shards_against_brute_force(spark, monkeypatch):
     assert sharding.shards(spark.createDataFrame([], "doc_id long, text string"), tree).count() == 0
 
 
+def test_trees_of_consecutive_counts_obey_the_law():
+    """A key that moves goes to the new shard, whether the tree was grown or built for its count."""
+    keys = range(4000)
+    before = [place(sharding.even_tree(8), k) for k in keys]
+    for n in (9, 10, 13):
+        assert sharding.even_tree(n) == sharding.grown(sharding.even_tree(n - 1), n - 1)
+    for n in (9, 10, 11):
+        after = [place(sharding.even_tree(n), k) for k in keys]
+        assert {y for x, y in zip(before, after, strict=True) if x != y} == {n - 1}
+        assert max(Counter(after).values()) < 1.35 * len(keys) / n
+        before = after
+
+
+def test_shards_of_long_and_repeated_rows_with_clashing_columns(spark):
+    rows = [(1, "é" * 500_000), (2, "x"), (2, "x"), (2, "y"), (None, ""), (None, "")]
+    names = ["size", "text_crc32", "slot", "order", "bucket", "base", "rank", "key", "grown_shard"]
+    df = spark.createDataFrame([(*r, *range(9)) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    tree = sharding.even_tree(8)
+    got = sharding.shards(df, tree, sharding.grown(tree, 8)).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"]) for r in got) == Counter((d, len(t.encode()) + 1, zlib.crc32(t.encode()), place(tree, d)) for d, t in rows)
+    for k in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))
+
+
 def test_changed_weights_move_rows_in_their_subtree_only(spark):
     leaf = lambda k, w: sharding.Node(f"shard{k}", w, k)
     tree = lambda w: sharding.Node("root", children=(sharding.Node("a", children=(leaf(0, 1.0), leaf(1, 1.0))), sharding.Node("b", children=(leaf(2, w), leaf(3, 4.0 - w)))))

@@ -8,7 +8,8 @@ and name, so a change of weights moves rows only between the changed child and
 its siblings; subtrees whose weights stay keep their rows' places inside.
 
 Growth adds a shard in a region of its own: all other weights stay, so rows
-move into the new shard alone.
+move into the new shard alone.  ``even_tree`` grows the same way from its first
+shards on, so the tree of a count and that of the next obey the law as well.
 
 Law: ``key``.  Key and tree decide, and nothing else.
 """
@@ -40,11 +41,18 @@ class Node:
         return sum(c.total for c in self.children) if self.children else self.weight
 
 
-def even_tree(shards: int, racks: int = 2, per_rack: int = 2) -> Node:
-    """Shards of weight 1, so many to a rack and racks to a region."""
-    leaves = [Node(f"shard{k}", shard=k) for k in range(shards)]
-    racked = [Node(f"rack{k // per_rack}", children=tuple(leaves[k : k + per_rack])) for k in range(0, shards, per_rack)]
-    return Node("root", children=tuple(Node(f"region{k // racks}", children=tuple(racked[k : k + racks])) for k in range(0, len(racked), racks)))
+def even_tree(shards: int, racks: int = 2, per_rack: int = 2, first: int = 8) -> Node:
+    """Shards of weight 1: the ``first`` ones so many to a rack and racks to a region, each later one in a region of its own.
+
+    Fewer shards than ``first`` are a first set of their own size.
+    """
+    start = min(shards, first)
+    leaves = [Node(f"shard{k}", shard=k) for k in range(start)]
+    racked = [Node(f"rack{k // per_rack}", children=tuple(leaves[k : k + per_rack])) for k in range(0, start, per_rack)]
+    tree = Node("root", children=tuple(Node(f"region{k // racks}", children=tuple(racked[k : k + racks])) for k in range(0, len(racked), racks)))
+    for k in range(start, shards):
+        tree = grown(tree, k)
+    return tree
 
 
 def grown(tree: Node, shard: int, weight: float = 1.0) -> Node:
