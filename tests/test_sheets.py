@@ -114,7 +114,7 @@ def test_english_markup(spark):
     rows = [
         ("A <b> of the old & new", True, [("of the old", "blue", "a"), ("old", "red", "b"), ("gone", "green", None)]),
         ("plain & simple", False, []),
-        ("the man’s", None, [("man's", "pink", "c")]),
+        ("the “man.” and man", None, [("the “man”", "pink", "c"), ("man", "red", "d"), ("man", "red", "d"), ("man", "red", "d")]),
     ]
     df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "i int, en string, star boolean, h array<struct<phrase:string,color:string,label:string>>")
     df = markup.highlighted(df.withColumn("p", F.transform("h", lambda x: F.struct(x["phrase"], x["color"]))), "en", "p")
@@ -122,10 +122,10 @@ def test_english_markup(spark):
     assert [r.m for r in got] == [
         '<font color="#cc0000">★ </font>A &lt;b&gt; <font color="#1a56cc"><b>of the </b></font><font color="#cc0000"><b>old</b></font> &amp; new',
         "plain &amp; simple",
-        'the <font color="#000000"><b>man’s</b></font>',
+        '<font color="#000000"><b>the “</b></font><font color="#cc0000"><b>man</b></font><font color="#000000"><b>.”</b></font> and <font color="#cc0000"><b>man</b></font>',
     ]
-    assert [r.x for r in got] == [["gone"], [], []] and got[1].l is None
-    assert got[2].l == '<font color="#000000" size="6.5"><b>[c]</b></font>'
+    assert [r.x for r in got] == [["gone"], [], ["man"]] and got[1].l is None
+    assert got[2].l.startswith('<font color="#000000" size="6.5"><b>[c]</b></font>  <font color="#cc0000" size="6.5"><b>[d]')
 
 
 def test_passage_book_lines(spark):

@@ -50,6 +50,7 @@ def _closed(left: str, words: list[str], follows: str, gap: str = r"\s+") -> str
     return f"{_ALL}({left}){gap}({'|'.join(words)})(?={follows}|$)"
 
 
+# What stands before and after the blanks of the rules.
 _SAFE = [
     _closed("[A-Za-z0-9]", PARTICLES, r"""[\s,.!?:;"'’”)\]]"""),
     _closed(r"\d", UNITS, r"[\s,.!?:;]"),

@@ -118,7 +118,7 @@ def _proposed(a: Analyzer, text: str) -> tuple[set[int], set[int]]:
 
 
 def _split_words(a: Analyzer, text: str) -> Iterator[tuple[str, bool]]:
-    """Words with whether the blank before each is wrong."""
+    """Words with whether the blank before each is wrong.  A blank beside another one, or at an end, has no word on one side and is right."""
     out, _ = _proposed(a, text)
     words = text.split(" ")
     letters = 0

@@ -6,6 +6,8 @@ in Arrow-batched functions; everything else is column expressions.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,43 +16,45 @@ from pyspark.sql import functions as F
 CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩"
 #: Markers that an answer can have.
 ANSWERS = "①②③④⑤⑥⑦"
-_CLOSING = "'\"’”"
+#: Closing quotation marks, and marks that may stand before the one a phrase ends with.
+CLOSING, BEFORE_CLOSING = "\"'’”", ".,;:!?"
+_LATIN = "[A-Za-z0-9]"
 
 
 def candidates(text: str, phrase: str) -> list[tuple[int, int]]:
-    """Where a phrase stands: with no letter or digit beside it; else its first
-    occurrence; else with any closing quotation mark in place of its own."""
+    """Where a phrase stands, one place after the other: with no Latin letter or
+    digit beside a letter or digit it begins or ends with; else its first
+    occurrence; else, where it ends with a closing quotation mark, with one
+    mark more before that."""
     if not phrase:
         return []
-    found, at = [], text.find(phrase)
-    first = at
-    while at >= 0:
-        end = at + len(phrase)
-        if not (at and text[at - 1].isalnum() and phrase[0].isalnum()) and not (end < len(text) and text[end].isalnum() and phrase[-1].isalnum()):
-            found.append((at, end))
-        at = text.find(phrase, at + 1)
-    if found:
-        return found
-    if first >= 0:
-        return [(first, first + len(phrase))]
-    if any(c in _CLOSING for c in phrase):
-        same = lambda a, b: a == b or (a in _CLOSING and b in _CLOSING)
-        for k in range(len(text) - len(phrase) + 1):
-            if all(same(text[k + i], c) for i, c in enumerate(phrase)):
-                return [(k, k + len(phrase))]
-    return []
-
-
-def spans(text: str, phrases: list[tuple[str, str]]) -> list[dict]:
-    """Runs of equal colour: in each place the shortest span wins, the later one on ties.
-
-    Phrases claim places in order, each the first that no other has claimed exactly.
-    """
+    left = f"(?<!{_LATIN})" if phrase[0].isalnum() else ""
+    right = f"(?!{_LATIN})" if phrase[-1].isalnum() else ""
+    places = lambda pattern: [m.span() for m in re.finditer(pattern, text)]
+    found = places(left + re.escape(phrase) + right)
+    if not found and phrase in text:
+        return places(re.escape(phrase))[:1]
+    if not found and phrase[-1] in CLOSING:
+        return places(f"{re.escape(phrase[:-1])}[{BEFORE_CLOSING}]?{re.escape(phrase[-1])}")
+    return found
+
+
+def located(text: str, phrases: list[tuple[str, str]]) -> tuple[list[tuple[int, int, str]], list[str]]:
+    """(start, end, colour) of phrases, and those without a place.  They claim places in order, each the first that no other has claimed exactly."""
     claimed: list[tuple[int, int, str]] = []
+    missed = []
     for phrase, color in phrases:
         free = [c for c in candidates(text, phrase) if c not in [(s, e) for s, e, _ in claimed]]
         if free:
             claimed.append((*free[0], color))
+        else:
+            missed.append(phrase)
+    return claimed, missed
+
+
+def spans(text: str, phrases: list[tuple[str, str]]) -> list[dict]:
+    """Runs of equal colour: in each place the shortest span wins, the later one on ties."""
+    claimed, _ = located(text, phrases)
     best: list[str | None] = [None] * len(text)
     for s, e, color in sorted(claimed, key=lambda x: x[0] - x[1]):  # long spans first; sort is stable, so later ones overwrite
         best[s:e] = [color] * (e - s)
@@ -73,6 +77,16 @@ def highlighted(df: DataFrame, text_col: str, phrases_col: str, name: str = "run
     return df.withColumn(name, run(text_col, phrases_col))
 
 
+def missed(text: Column, phrases: Column) -> Column:
+    """The phrases, of array<struct<phrase,color>>, that get no place in a text; of null ones none."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series, phrases: pd.Series) -> pd.Series:
+        return pd.Series([located(t, [(p["phrase"], p["color"]) for p in ps])[1] if isinstance(t, str) and ps is not None else [] for t, ps in zip(texts, phrases, strict=True)])
+
+    return run(text, phrases)
+
+
 def circled_map(choices: Column) -> Column:
     """Choices '① words' as a map from marker to words, the last of a marker winning; others are left out."""
     marked = F.filter(choices, lambda c: c.rlike(f"^\\s*[{CIRCLED}]\\s*\\S"))
@@ -107,6 +121,6 @@ def answer_char(answer: Column, choices: Column) -> Column:
 
 
 def bad_answers(questions: DataFrame, answer: str = "answer", choices: str = "choices", kind: str = "type", essay: str = "essay") -> DataFrame:
-    """Objective questions with choices whose answer is none of them.  Essays and questions without choices pass."""
-    objective = (F.coalesce(F.col(kind), F.lit("")) != essay) & (F.coalesce(F.size(choices), F.lit(0)) > 0)
+    """Objective questions whose answer is none of their choices, of five where the list is empty.  Essays and questions without a list pass."""
+    objective = (F.coalesce(F.col(kind), F.lit("")) != essay) & F.col(choices).isNotNull()
     return questions.where(objective & answer_char(F.col(answer), F.col(choices)).isNull())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions.arrays import first_index
 from textloom.functions.text import escaped, let, stripped
 from textloom.operators.layout import paged
-from textloom.operators.markup import answer_char, bad_answers, circled_map, underlined
+from textloom.operators.markup import answer_char, bad_answers, circled_map, missed, underlined
 
 # Question types with a form of their own, the mark of essays, the parts of a vocabulary test, and wording of sheets.
 TABLE_TYPE, WRITING_TYPE, INSERT_TYPE, ESSAY = "어법_ABC", "조건_영작", "문장_삽입", "서술형"
@@ -20,6 +20,10 @@ ANSWER_LINES, ANSWER_LINE = 3, "_" * 58
 COLORS = {"blue": "#1a56cc", "orange": "#e06c00", "green": "#1a7a3c", "red": "#cc0000"}
 
 
+#: Words of a column of a vocabulary test, unless its data say otherwise.
+PER_COLUMN = 20
+
+
 def sentence_rows(sentences: DataFrame, doc: str, order: str) -> DataFrame:
     """Adds page (from 1), kind, new_section and num to the rows of an analysis.
 
@@ -70,9 +74,8 @@ def label_row(highlights: Column) -> Column:
 
 
 def highlight_misses(text: Column, highlights: Column) -> Column:
-    """Phrases of highlights that are not in the text, even with other closing quotation marks."""
-    alike = lambda c: F.translate(c, '"’”', "'" * 3)
-    return F.transform(F.filter(highlights, lambda h: ~alike(text).contains(alike(h["phrase"]))), lambda h: h["phrase"])
+    """Phrases of highlights that have no place in the text (``markup.located``)."""
+    return missed(text, F.transform(highlights, lambda h: F.struct(h["phrase"].alias("phrase"), h["color"].alias("color"))))
 
 
 def passage_book_lines(printable: DataFrame, names: DataFrame, doc: str) -> DataFrame:
@@ -84,7 +87,7 @@ def passage_book_lines(printable: DataFrame, names: DataFrame, doc: str) -> Data
     return p.select(doc, F.col("item").cast("int").alias("page"), F.posexplode(lines).alias("row", "text"))
 
 
-def vocabulary_rows(words: DataFrame, doc: str, order: str, per_column: int = 20) -> DataFrame:
+def vocabulary_rows(words: DataFrame, doc: str, order: str, per_column: int = PER_COLUMN) -> DataFrame:
     """(doc, mode, heading, page, column, row, num, en, ko): a test of each direction and the list, each on pages of two columns.
 
     The side that is asked for is empty.  Pages count from 1 over all parts.
