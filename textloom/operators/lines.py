@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from textloom.functions.korean import has_hangul, is_numeric, is_punctuation
 from textloom.functions.text import let
 from textloom.operators.columns import column_of, gutters
+from textloom.operators.segments import anchors, chained_groups
 
 #: The widest gap inside a word, the widest mark that can stand inside one, the share of a line's height that parts paragraphs.
 TIGHT_GAP, MARK_WIDTH, BREAK_SHARE = 1.0, 10.0, 0.8
@@ -70,15 +71,12 @@ def density_gutters(words: DataFrame, keys: list[str], bin_size: int = 4, valley
 def anchored_lines(words: DataFrame, keys: list[str], tolerance: float = 4) -> DataFrame:
     """Adds ``line``, from 0: a word joins a line if its y0 is within ``tolerance`` of that line's first word, from above."""
     group = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("y0").cast("double"))).alias("__y"), F.collect_list(F.struct(*[c for c in words.columns if c not in keys])).alias("__w"))
-    anchors = F.aggregate("__y", F.array().cast("array<double>"), lambda a, y: F.when((F.size(a) == 0) | (y - F.get(a, F.size(a) - 1) > tolerance), F.array_append(a, y)).otherwise(a))
-    return group.select(*keys, anchors.alias("__a"), F.explode("__w").alias("__w")).select(*keys, "__w.*", (F.size(F.filter("__a", lambda a: a <= F.col("__w.y0"))) - 1).cast("long").alias("line"))
+    return group.select(*keys, anchors(F.col("__y"), tolerance).alias("__a"), F.explode("__w").alias("__w")).select(*keys, "__w.*", (F.size(F.filter("__a", lambda a: a <= F.col("__w.y0"))) - 1).cast("long").alias("line"))
 
 
 def chained_lines(words: DataFrame, keys: list[str], tolerance: float = 4) -> DataFrame:
     """Adds ``line``, from 0: a word joins a line if its y0 is within ``tolerance`` of the word before it."""
-    w = Window.partitionBy(*keys).orderBy("y0", "x0", "word_no")
-    new = F.coalesce((F.col("y0") - F.lag("y0").over(w) > tolerance).cast("int"), F.lit(0))
-    return words.withColumn("__new", new).withColumn("line", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    return chained_groups(words, keys, ["y0", "x0", "word_no"], F.col("y0"), tolerance, "line")
 
 
 def with_marks_inside(words: Column) -> Column:

@@ -35,22 +35,17 @@ def islands(df: DataFrame, keys: list[str], order: str, keep: Column, name: str
     return df.withColumn(name, F.sum((~keep).cast("int")).over(w)).where(keep)
 
 
-def chained_groups(df: DataFrame, keys: list[str], order: str, value: Column, gap: Column | float, name: str = "chain") -> DataFrame:
+def chained_groups(df: DataFrame, keys: list[str], order: str | list[str], value: Column, gap: Column | float, name: str = "chain") -> DataFrame:
     """Sessions: a row joins the one before it if their values are within ``gap``."""
     w = Window.partitionBy(*keys).orderBy(order)
     new = F.coalesce((value - F.lag(value).over(w) > gap).cast("int"), F.lit(0))
     return df.withColumn("__new", new).withColumn(name, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
-def anchored_group_count(values: Column, tolerance: float) -> Column:
-    """Groups of a sorted array in which each value is within tolerance of its group's first."""
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).cast("long").alias("n"))
-
-    def step(state, v):
-        new = state["anchor"].isNull() | (v - state["anchor"] > tolerance)
-        return F.struct(F.when(new, v).otherwise(state["anchor"]).alias("anchor"), (state["n"] + new.cast("long")).alias("n"))
-
-    return F.aggregate(values, start, step, lambda s: s["n"])
+def anchors(values: Column, tolerance: float) -> Column:
+    """The first values of the groups of a sorted array in which each is within tolerance of its group's first."""
+    empty = F.array().cast("array<double>")
+    return F.aggregate(values, empty, lambda a, v: F.when((F.size(a) == 0) | (v - F.get(a, F.size(a) - 1) > tolerance), F.array_append(a, v)).otherwise(a))
 
 
 def wins(df: DataFrame, keys: list[str], order: list[str], columns: list[str], last: bool = False) -> DataFrame:

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from textloom.functions.arrays import before_index, between, block, first_index, from_index
 from textloom.functions.korean import has_hangul
 from textloom.functions.text import let, stripped
-from textloom.operators.segments import trailing_segments
+from textloom.operators.segments import carried_forward, next_bound, trailing_segments
 
-# Notation of the textbook.
+# Pages of contents, and notation of the textbook.
+CONTENTS_PAGES = (4, 5, 6)
 ITEM_ID = r"(?Ud)^\s*(26005-\d{4})\s*$"
 SKIPPED = r"(?Ud)^\s*(?:Solving\s+Strategies|Academic\s+Vocabulary\s+by\s+Topic)\s*$"
 EXERCISES = r"(?Ud)^\s*xercises\s*$"
@@ -38,7 +39,7 @@ TEXTBOOK_NOISE = [
     r"^\s*\d+\s*[•·ㆍ]\s*.+\s+\d+\s*$",
 ]
 # Notation of the solution book.
-LESSON = r"(?d)^([0-9]{2}) ([가-힣].*)$"
+LESSON = r"(?Ud)^(\d{2}) ([가-힣].*)$"
 NO_LESSON = ["유형편", "주제·소재편", "주제ㆍ소재편", "테스트편"]
 TEST = r"(?U)^TEST\s+본문\s+\d+"
 GATEWAY_MANY = r"(?Ud)^.*?G\s*ateway\s+(\d{2}\s*[①②③④⑤].+)$"
@@ -60,7 +61,9 @@ SOLUTION_NOISE = [
     r"^\s*Part\s+I+\s+.+\s*$",
     r"^\s*I{1,2}\s*$",
     r"^\s*[GE]\s*$",
-    r"^\s*(?:유형편|주제·소재편|주제ㆍ소재편)\s*$",
+    r"^\s*유형편\s*$",
+    r"^\s*주제·소재편\s*$",
+    r"^\s*주제ㆍ소재편\s*$",
     r"^\s*정답과\s*해설\s*\d*\s*$",
     r"^\s*\d+\s+20\d+학년도\s+EBS\s+수능특강\s+영어\s*$",
     r"^\s*영\s*어\s*$",
@@ -92,17 +95,15 @@ def contents(lines: DataFrame, doc: str) -> DataFrame:
 
 def lesson_pages(toc: DataFrame, doc: str, total_pages: Column) -> DataFrame:
     """Adds ``end_page``: before the next lesson; the last lesson ends with the book, or after four pages from lesson 21 on."""
-    following = F.lead("start_page").over(Window.partitionBy(doc).orderBy("lesson")) - 1
     last = F.when(F.col("lesson").between(21, 30), F.least(F.col("start_page") + 3, total_pages)).otherwise(total_pages)
-    return toc.withColumn("end_page", F.coalesce(following, last))
+    return next_bound(toc, [doc], ["lesson"], "start_page", "__next").withColumn("end_page", F.coalesce(F.col("__next") - 1, last)).drop("__next")
 
 
 def without_sections(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Leaves out sections of advice and vocabulary, up to the exercises' title or an item id, which stay."""
     s = stripped(F.col("text"))
     event = F.when(s.rlike(SKIPPED), True).when(s.rlike(EXERCISES) | F.col("text").rlike(ITEM_ID), False)
-    skips = F.last(event, ignorenulls=True).over(Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    return lines.withColumn("__skip", F.coalesce(skips, F.lit(False))).where("not __skip").drop("__skip")
+    return carried_forward(lines, keys, ["line_no"], event, "__skip").where(~F.coalesce("__skip", F.lit(False))).drop("__skip")
 
 
 def problem(lines: Column, title: Column) -> Column:
@@ -261,6 +262,6 @@ def merged(asked: DataFrame, lessons: DataFrame, solved: DataFrame, doc: str) ->
     m = m.withColumn("title", F.coalesce(F.nullif("book_title", F.lit("")), "solution_title", F.lit("")))
     number = F.when(F.col("position") > 0, F.col("problem"))
     m = m.withColumn("ex_number", number).withColumn("answer_number", F.coalesce(F.when(number.isNull(), F.col("gateway_answer")).otherwise(F.try_element_at("exercises_answers", "problem")), F.lit("")))
-    before = F.last(F.nullif("body", F.lit("")), ignorenulls=True).over(Window.partitionBy(*keys).orderBy("position").rowsBetween(Window.unboundedPreceding, 0))
-    m = m.withColumn("body", F.when(F.col("title").contains(LONG_READING), F.coalesce(before, "body")).otherwise(F.col("body")))
-    return m.drop("problem", "book_title", "solution_title", "gateway_answer", "gateway_answer_map", "exercises_answers")
+    m = carried_forward(m, keys, ["position"], F.nullif("body", F.lit("")), "before")
+    m = m.withColumn("body", F.when(F.col("title").contains(LONG_READING), F.coalesce("before", "body")).otherwise(F.col("body")))
+    return m.drop("before", "problem", "book_title", "solution_title", "gateway_answer", "gateway_answer_map", "exercises_answers")
