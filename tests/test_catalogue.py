@@ -5,14 +5,14 @@ import pytest
 from compare import differences
 
 from textloom.functions.korean import BREAKS
-from textloom.plans import catalogue
+from textloom.plans import books, catalogue, registry  # noqa: F401 (they register their queries)
 
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_against_duckdb(spark, name):
-    assert differences(spark, name, catalogue.QUERIES[name], catalogue.ORACLE_SQL[name], FOLDER) == ""
+    assert differences(spark, name, registry.QUERIES[name], registry.ORACLE_SQL[name], FOLDER) == ""
 
 
 def _score(word):
@@ -33,7 +33,7 @@ def _aligned(source, words):
 
 
 def test_paragraph_alignment(spark):
-    got = {r.doc_id: (r.paragraphs, r.digest) for r in catalogue.QUERIES["paragraph_alignment"](spark, FOLDER).collect()}
+    got = {r.doc_id: (r.paragraphs, r.digest) for r in registry.QUERIES["paragraph_alignment"](spark, FOLDER).collect()}
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()
     parted = 0
     for r in docs:
@@ -48,7 +48,7 @@ def test_paragraph_alignment(spark):
 
 def test_highlight_runs(spark):
     """Letter by letter: each phrase colours its first free place between words; the shortest one over a letter wins."""
-    got = {(r.conv_id, r.turn, k): r.color for r in catalogue.QUERIES["highlight_runs"](spark, FOLDER).collect() for k in range(r.start, r.end)}
+    got = {(r.conv_id, r.turn, k): r.color for r in registry.QUERIES["highlight_runs"](spark, FOLDER).collect() for k in range(r.start, r.end)}
     want = {}
     for r in spark.read.parquet(f"{FOLDER}/conversations.parquet").collect():
         spans = []

@@ -3,42 +3,22 @@
 from pyspark.sql import functions as F
 
 from textloom.operators import exams
-
-SHARED = "Long text of the group that goes on. " * 6
+from textloom.plans.fixtures import EXAM, EXAM_ANSWERS, EXAM_KEY, EXAM_QUESTIONS
 
 
 def frame(spark, lines):
     return spark.createDataFrame([("d", k, t) for k, t in enumerate(lines)], "doc string, line_no bigint, text string")
 
 
-ASKED = [
-    "17. out of range", "18. 다음 글의 목적으로 가장", "적절한 것은?", "Dear all,", "We write to you.", "* note: 주석", "3", "① one", "② two",
-    "20. 다음 글에서 어법상 틀린 것은?", "It is ① good.", "② Bad it is.",
-    "[31 ~ 32] 다음 빈칸에 들어갈 말을", "고르시오.", "31. Research shows", "that it is.", "① a", "32.", "Only this.", "① b",
-    "[41~42] 다음 글을 읽고, 물음에 답하시오.", SHARED, "41. 제목은?", "① t", "42. 낱말은?", "① u", "20. again",
-]
-
-
 def test_questions(spark):
-    got = {r.n: (r.instruction, r.body, r.choices) for r in exams.questions(frame(spark, ASKED), "doc").collect()}
-    assert got == {
-        18: ("다음 글의 목적으로 가장 적절한 것은?", "Dear all,\nWe write to you.", "① one\n② two"),
-        20: ("다음 글에서 어법상 틀린 것은?", "It is ① good.\n② Bad it is.", ""),
-        31: ("다음 빈칸에 들어갈 말을 고르시오.", "Research shows\nthat it is.", "① a"),
-        32: ("다음 빈칸에 들어갈 말을 고르시오.", "Only this.", "① b"),
-        # the line after a group header is taken into its instruction
-        41: (f"다음 글을 읽고, 물음에 답하시오. {SHARED.strip()}", SHARED.strip(), "① t"),
-        42: (f"다음 글을 읽고, 물음에 답하시오. {SHARED.strip()}", SHARED.strip(), "① u\n20. again"),
-    }
+    got = exams.questions(frame(spark, EXAM), "doc").collect()
+    assert sorted((r.n, r.instruction, r.body, r.choices) for r in got) == EXAM_QUESTIONS
 
 
 def test_answers_and_merge(spark):
-    told = "긴 해석이 여기에 있다. " * 20
-    lines = ["18 ① 19 ③", "20. ② 18 ⑤", "해 설", "19 ⑤", "18. [출제의도] 목적", "하나의 해석이다.", "7", "둘째 줄이다.", "pulse 박자", "beat 고동",
-             "20. [출제 의도] 어법", "[해석] 첫 줄", "다음 줄", "[풀이]", "푸는 법", "[어휘]", "word 낱말", "[41~42]", told, "41. [출제의도] 제목", "x", "42. [출제의도] 낱말", "y"]
-    got = {r.n: (r.answer_number, r.korean_translation, r.solution) for r in exams.answers(frame(spark, lines), "doc").collect()}
-    assert got == {18: ("①", "하나의 해석이다.\n둘째 줄이다.", ""), 20: ("②", "첫 줄\n다음 줄", "푸는 법"), 41: ("", told.strip(), ""), 42: ("", told.strip(), "")}
-    both = exams.merged(exams.questions(frame(spark, ASKED), "doc"), exams.answers(frame(spark, lines), "doc"), "doc")
+    got = exams.answers(frame(spark, EXAM_KEY), "doc").collect()
+    assert sorted((r.n, r.answer_number, r.korean_translation, r.solution) for r in got) == EXAM_ANSWERS
+    both = exams.merged(exams.questions(frame(spark, EXAM), "doc"), exams.answers(frame(spark, EXAM_KEY), "doc"), "doc")
     rows = {r.n: (r.answer_number, r.is_easy_type, r.answered) for r in both.collect()}
     assert rows[18] == ("①", True, True) and rows[31] == (None, False, False) and len(rows) == 6
 

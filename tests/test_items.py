@@ -4,46 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import items
-
-LONG = "People often think that the first answer is the best one to give."
-
-
-def head(n, code=None, lesson="01"):
-    return f"# 강 {lesson} # 쪽 008 # 번 {n:03d} # 문항코드 {code or f'10000-{n:04d}'}"
-
-
-def item(asked, body, *, choices=(), answer=None, note=(), told=("이것은 해석이다.",), **h):
-    lines = [head(**h), "[ 문제]", asked, *body, *choices]
-    if answer:
-        lines += ["[ 정답모범답안]", str(answer)]
-    return [*lines, "{ 소재}", "사람의 생각", "{ 해석}", *told, "{Solution Guide}", *note]
-
-
-CASES = {
-    "AS_IS": (item("다음 글의 제목으로 가장 적절한 것은?", [LONG, "And so it goes on for days."], n=1), LONG + " And so it goes on for days."),
-    "REPLACE": (item("다음 글의 밑줄 친 부분 중, 어법상 틀린 것은?", [LONG, "It makes it easier for all of us ② perceive", "the story as it is told by them."], answer=2, note=["②에서 perceive를 discern으로 고쳐야 한다."], n=2), LONG + " It makes it easier for all of us discern the story as it is told by them."),
-    "FILL": (item("다음 빈칸에 들어갈 말로 가장 적절한 것은?", [LONG, "Yet it is mostly ______ by far."], choices=["① good", "② bad"], answer=2, n=3), LONG + " Yet it is mostly bad by far."),
-    "REMOVE": (item("다음 글에서 전체 흐름과 관계 없는 문장은?", [LONG, "It was a fine day in spring and we went out ① All was well then.", "That is why we know it ② Cats are fine to have", "at home indeed. ③ So all went home again and slept very well."], answer=2, told=["하나이다. (고양이는 좋다.) 둘이다."], n=4), LONG + " It was a fine day in spring and we went out  All was well then. That is why we know it  So all went home again and slept very well."),
-    "REORDER": (item("주어진 글 다음에 이어질 글의 순서로 가장 적절한 것은?", [LONG, "(A) Then it was first.", "(B) Then it was second.", "(C) Then it was third."], choices=["① (A)-(C)-(B)", "② (B)-(C)-(A)"], answer=2, told=["(B) 둘 (C) 셋 (A) 하나"], n=5), LONG + " Then it was second. Then it was third. Then it was first."),
-    "INSERT": (item("글의 흐름으로 보아, 주어진 문장이 들어가기에 가장 적절한 곳은?", ["However, this is not so.", "It was said to be so. ( ① ) It was in the book. ( ② ) It ends here."], answer=2, n=6), "It was said to be so. It was in the book. However, this is not so. It ends here."),
-    "SUMMARY": (item("다음 글의 내용을 한 문장으로 요약하고자 한다. 빈칸 (A), (B)에 들어갈 말은?", [LONG, "And so it goes on for days.", "↓", "It is a(n) (A) that leads to (B) ."], choices=["① idea …… loss", "② game …… gain"], answer=1, told=["글이다. → 요약이다."], n=7), LONG + " And so it goes on for days.\n\nIt is an idea that leads to loss."),
-    "SKIP": (item("다음 도표의 내용과 일치하지 않는 것은?", [LONG, "And so it goes on for days."], n=8), LONG + " And so it goes on for days."),
-}
+from textloom.plans.fixtures import BOOK, LONG, head
+from textloom.plans.fixtures import ITEMS as CASES
 
 
 @pytest.fixture(scope="module")
 def book(spark):
-    lines = ["before", "01 강 글의 목적", "01 강 다른 이름"]
-    for case, _ in CASES.values():
-        lines += case
-    # a set of two and a set of three after it
-    lines += ["# 강 02 # 쪽 010 # 번 001~002 # 문항코드", "[ 지문]", LONG, "It was (a) good and then (b) bad in the end.", "{ 해석}", "그것은 나쁜(→ 좋은) 것이다."]
-    lines += item("윗글의 제목으로 가장 적절한 것은?", [], n=1, lesson="02", code="x")
-    lines += item("밑줄 친 (a)~(e) 중에서 문맥상 낱말의 쓰임이 적절하지 않은 것은?", [], answer=2, note=["(b)의 bad를 fine과 같은 낱말로 바꾸어야 한다."], n=2, lesson="02", code="y")
-    lines += ["# 강 03 # 쪽 010 # 번 001~003 # 문항코드", "(A)", "First there was one (a) thing.", "(B)", "Bees came next.", "(C)", "Cats came after.", "(D)", "Dogs came last.", "{ 해석}", "(A) 하나", "(B) 벌", "(C) 고양이", "(D) 개"]
-    for n, choice in enumerate([["① (C)-(B)-(D)", "② (D)-(B)-(C)"], [], []], 1):
-        lines += item("주어진 글 (A)에 이어질 내용을 순서에 맞게 배열한 것은?" if choice else "윗글의 내용과 일치하는 것은?", [], choices=choice, answer=2, n=n, lesson="03", code=f"z{n}")
-    df = spark.createDataFrame([("d", k, t, False) for k, t in enumerate(lines)], "doc string, line_no bigint, text string, is_break boolean")
+    df = spark.createDataFrame([("d", k, t, False) for k, t in enumerate(BOOK)], "doc string, line_no bigint, text string, is_break boolean")
     return df
 
 

@@ -3,34 +3,8 @@
 from pyspark.sql import functions as F
 
 from textloom.functions import morphology
-from textloom.functions.morphology import Token
-
-WORDS = {
-    "확보": "확보/NNG", "확보하기": "확보/NNG 하/XSV 기/ETN", "사람": "사람/NNG", "사람하나": "사람/NNG 하나/NR",
-    "맞": "맞/VV", "맞지만": "맞/VV 지만/EC", "주": "주/NNG", "주어지는": "주어지/VV 는/ETM", "약": "약/NNG", "약화시켜": "약화/NNG 시키/XSV 어/EC",
-    "능": "능/NNG", "능력을": "능력/NNG 을/JKO", "있어야": "있/VV 어야/EC", "있어야한다": "있/VV 어야/EC 하/VX ㄴ다/EF", "해주다": "하/VV 아/EC 주/VX 다/EF", "주다": "주/VV 다/EF",
-}
-
-
-class Small:
-    """Words it does not know are one unknown token; it writes the texts it knows as listed."""
-
-    texts = {"능 력을 길러 있어야 한다": "능력을 길러 있어야한다", "해주다": "해 주다", "새집": "새 집"}
-
-    def tokens(self, text):
-        if text == "해주다":
-            return [Token("하", "VV", 0), Token("주", "VX", 1), Token("다", "EF", 2)]
-        return [Token(*t.split("/"), 0) for t in WORDS[text].split()] if text in WORDS else [Token(text, "UN", 0)]
-
-    def score(self, text):
-        return 10.0 if text in ("안타깝게도", "찾을") else 5.0001 if " " in text else 0.0
-
-    def spaced(self, text):
-        return self.texts.get(text, text)
-
-
-def small():
-    return Small()
+from textloom.plans.fixtures import ANALYZED, SmallAnalyzer
+from textloom.plans.fixtures import small_analyzer as small
 
 
 def values(spark, texts, make):
@@ -39,17 +13,13 @@ def values(spark, texts, make):
 
 
 def test_rules():
-    a = Small()
-    assert morphology.repaired(a, "확보 하기 위해 사람 하나") == "확보하기 위해 사람 하나"
-    assert morphology.repaired(a, "맞 지만 주 어지는 약 화시켜 의 결함") == "맞지만 주어지는 약화시켜 의 결함"
-    assert morphology.repaired(a, "능 력을 길러 있어야 한다") == "능력을 길러 있어야 한다"
-    assert morphology.repaired(a, "  ") == "  "
-    assert morphology.wrong_blanks(a, "능 력을 길러 있어야 한다") == 1
-    assert morphology.is_style(a, "해주다") and not morphology.is_style(a, "새집") and not morphology.is_style(a, "그대로")
+    a = SmallAnalyzer()
+    for text, fixed, wrong, style in ANALYZED:
+        assert (morphology.repaired(a, text), morphology.wrong_blanks(a, text), morphology.is_style(a, text)) == (fixed, wrong, style), text
 
 
 def test_wraps():
-    a = Small()
+    a = SmallAnalyzer()
     # 10 - 5.0001 = 4.9999 is below the score, but not below that of a line end
     assert morphology.unwrapped(a, "안타깝 게도 x") == "안타깝 게도 x"
     assert morphology.unwrapped(a, "나는 찾\n을 것이다", 4.0) == "나는 찾을 것이다"

@@ -3,18 +3,7 @@
 from pyspark.sql import functions as F
 
 from textloom.operators import textbook
-
-PAGES = {
-    6: ["Contents", "", "01", "글의 목적 파악", "8", "12", "3번", "9", "02", "장문 독해", "10"],
-    8: ["글의 목적 파악", "G", "ateway", "다음 글의 목적으로 가장 적절한 것은?", "Dear all,", "We write.", "① one", "② two", "□ word 낱말", "* note: 주석", "26005-0001", "Solving Strategies", "advice", "xercises"],
-    9: ["다음 글의 주제로", "가장 적절한 것은?", "It is so.", "* term: 용어", "① x", "26005-0002", "lost"],
-    10: ["01~02 다음 글을 읽고, 물음에 답하시오.", "Long text", "goes on.", "01. 윗글의 제목은?", "① t", "26005-0003", "02. 밑줄 친 말은?", "① u", "26005-0004", "따라서 무엇인가?", "이것은 무엇인가?", "Body", "26005-0005"],
-}
-SOLUTION = [
-    "Part I 유형편", "03 유형편", "01 글의 목적 파악", "두 번 G ateway ② 유형편", "E xercises 01 ③ 02 ⑤", "03 ①", "ateway 본문 10쪽", "정답 ② 유형편", "소재 편지 유형편",
-    "해석 첫 줄 유형편", "둘째 줄", "Solution Guide 유형편", "푸는 법", "Culture Note", "문화", "E 본문 12~15쪽", "xercises", "33 사람", "01 유형편", "정답 ③", "해석 하나", "Structure in Focus", "구조", "02", "해석 둘", "해석 셋",
-    "02 장문 독해", "G ateway 01 ② 02 ⑤", "E xercises 01 ① 02 ②", "ateway 본문 20쪽", "정답 01 ② 02 ⑤", "해석 긴 글", "E 본문 22~23쪽", "정답 01 ① 02 ④", "해석 함께", "TEST 본문 172쪽", "해석 밖",
-]
+from textloom.plans.fixtures import SOLUTION, SOLVED, TEXTBOOK, TEXTBOOK_MERGED, TEXTBOOK_PROBLEMS
 
 
 def lines(spark, rows):
@@ -22,7 +11,7 @@ def lines(spark, rows):
 
 
 def book(spark):
-    return lines(spark, [("d", p, k, t) for p, ts in PAGES.items() for k, t in enumerate(ts)])
+    return lines(spark, [("d", p, k, t) for p, ts in TEXTBOOK.items() for k, t in enumerate(ts)])
 
 
 def solution(spark):
@@ -43,14 +32,8 @@ def test_last_lesson_of_the_second_part_has_four_pages(spark):
 
 
 def test_problems(spark):
-    got = {(r.lesson, r.position): (r.qid[-1], r.instruction, r.body, r.choices, r.vocab, r.footnote) for r in textbook.problems(book(spark), pages_of(spark), "doc").collect()}
-    assert got == {
-        (1, 0): ("1", "다음 글의 목적으로 가장 적절한 것은?", "Dear all,\nWe write.", "① one\n② two", "□ word 낱말\n* note: 주석", "* note: 주석"),
-        (1, 1): ("2", "다음 글의 주제로 가장 적절한 것은?", "It is so.", "① x", "", "* term: 용어"),
-        (2, 0): ("3", "다음 글을 읽고, 물음에 답하시오.", "Long text\ngoes on.", "01. 윗글의 제목은?\n① t", "", ""),
-        (2, 1): ("4", "02. 밑줄 친 말은?", "", "① u", "", ""),
-        (2, 2): ("5", "이것은 무엇인가?", "Body", "", "", ""),
-    }
+    got = textbook.problems(book(spark), pages_of(spark), "doc").collect()
+    assert sorted((r.lesson, r.position, r.qid, r.instruction, r.body, r.choices, r.vocab, r.footnote) for r in got) == TEXTBOOK_PROBLEMS
 
 
 def test_solutions(spark):
@@ -59,24 +42,15 @@ def test_solutions(spark):
         1: ("글의 목적 파악", "②", {}, {"01": "③", "02": "⑤", "03": "①"}),
         2: ("장문 독해", "②,⑤", {"01": "②", "02": "⑤"}, {"01": "①", "02": "②"}),
     }
-    assert {(r.lesson, r.problem): (r.answer, r.sozae, r.korean_translation, r.solution_guide, r.structure_in_focus, r.body_ref_page) for r in solved.collect()} == {
-        (1, "gw"): ("②", "편지", "첫 줄\n둘째 줄", "푸는 법", "", 10),
-        (1, "01"): ("③", "", "하나", "", "구조", None),
-        (1, "02"): ("", "", "둘\n셋", "", "", None),
-        (2, "gw"): ("②,⑤", "", "긴 글", "", "", 20),
-        (2, "01"): ("①", "", "함께", "", "", None),
-        (2, "02"): ("④", "", "함께", "", "", None),
-    }
+    got = {(r.lesson, r.problem, r.answer, r.sozae, r.korean_translation, r.solution_guide, r.structure_in_focus, r.body_ref_page) for r in solved.collect()}
+    assert got == set(SOLVED)
 
 
 def test_merged(spark):
     got = textbook.merged(textbook.problems(book(spark), pages_of(spark), "doc"), *textbook.solutions(solution(spark), "doc"), "doc").collect()
-    rows = {(r.lesson, r.position): (r.title, r.ex_number, r.answer_number, r.body, r.korean_translation) for r in got}
-    assert rows[1, 1] == ("글의 목적 파악", "01", "③", "It is so.", "하나")
-    assert rows[2, 0] == ("장문 독해", None, "②,⑤", "Long text\ngoes on.", "긴 글")
-    assert rows[2, 1] == ("장문 독해", "01", "①", "Long text\ngoes on.", "함께")
-    assert rows[2, 2] == ("장문 독해", "02", "②", "Body", "함께")
-    assert len(rows) == 5
+    rows = {(r.lesson, r.position, r.ex_number, r.answer_number, r.body, r.korean_translation) for r in got}
+    assert rows == set(TEXTBOOK_MERGED) and len(got) == len(TEXTBOOK_MERGED)
+    assert {r.lesson: r.title for r in got} == {1: "글의 목적 파악", 2: "장문 독해"}
 
 
 def test_no_lines(spark):
