@@ -41,9 +41,25 @@ def test_bounds_hold_and_prune():
     u = m._norm(rng.normal(size=(400, 64)))
     u[200:] = m._norm(u[:200] + rng.normal(size=(200, 64)) * 0.05)
     exact = u @ u.T
-    i, j = m.bracketed(u, u, 0.9)
+    i, j, sure = (np.concatenate(x) for x in zip(*m.bracketed(m.quantised(u), m.quantised(u), 0.9), strict=True))
     assert {*zip(*np.nonzero(exact >= 0.9), strict=True)} <= {*zip(i, j, strict=True)}
     assert (exact[i, j] > 0.87).all()
+    assert (exact[i, j][sure] >= 0.9).all() and 0.5 < sure.mean() < 1
+
+
+def test_open_pairs_alone_are_fetched_and_tiles_are_small(spark, monkeypatch):
+    """A group that lies right at the threshold, so that nearly all its pairs are left open; the payload of a tile."""
+    monkeypatch.setattr(m, "TILE", 32)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=48)
+    noise = 0.2744 * np.linalg.norm(base) / 48**0.5  # of cosines around 0.93
+    rows = [(i, (base + rng.normal(size=48) * noise).tolist(), 1) for i in range(150)] + [(200 + i, rng.normal(size=48).tolist(), 1) for i in range(60)]
+    got = m.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), threshold=0.93)
+    want = brute(rows, 0.93)
+    assert 0.2 < sum(n for _, n, _, _ in want) / 150 / 149 < 0.8
+    assert sorted(map(tuple, got.collect()), key=str) == want
+    q, step, bound = m.quantised(m._norm(rng.normal(size=(100, 64))))
+    assert q.nbytes + step.nbytes + bound.nbytes + 2 * 8 * 100 <= 100 * (64 * 8 + 16) / 4
 
 
 def test_no_rows(spark):
