@@ -107,7 +107,8 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 out.append(a.tobytes() if there[k] and np.isfinite(a).all() and a.any() else None)
             yield pa.RecordBatch.from_arrays([b["vec_id"], b["label"], pa.array(out, pa.binary())], names=["vec_id", "label", "data"])
 
-    read = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    # labels stand as their hash, whatever their length
+    read = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.md5(F.col(label_col).cast("string").cast("binary")).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = s.keep(read.mapInArrow(tidy(clean), "vec_id long, label string, data binary").withColumn("dim", F.coalesce((F.length("data") / 8).cast("int"), F.lit(0))), "rows")
     # a vector stands for its equals; node is a hash of label and components
     node = F.xxhash64("label", "data")
