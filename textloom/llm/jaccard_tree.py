@@ -34,10 +34,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, components, few, group_starts, mix, shingles, signed, tidy, whole_groups
+from .shared import Scratch, components, few, group_starts, mix, shingles, signed, tidy, unused, whole_groups
 
 #: Most members of a file that one task compares with each other.
 BLOCK = 1024
@@ -320,44 +320,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whatever their ids; a null id stays null unless its component has another
     one.  Repeated ids are separate rows.  Other columns are ignored.
     """
-    whole = _labelled(docs, id_col, text_col, n_words, percent)
-    least = whole.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    s = Scratch(docs.sparkSession, "jaccard")
+    whole = _labelled(s, docs, id_col, text_col, n_words, percent)
+    least = few(s.keep(whole.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least")), "least"))
     return whole.join(least, "comp", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def _labelled(docs: DataFrame, id_col: str, text_col: str, n_words: int, percent: int) -> DataFrame:
+def _labelled(s: Scratch, docs: DataFrame, id_col: str, text_col: str, n_words: int, percent: int) -> DataFrame:
     """(comp, doc_id, text_hash, n), one row for each input row; comp is null where the set is empty."""
-    spark = docs.sparkSession
-    s = Scratch(spark, "jaccard")
-    sketch = s.keep(sketches(docs, id_col, text_col, n_words, percent), "sketch")
+    sketch = s.keep(sketches(docs, id_col, text_col, n_words, percent).withColumn("row", F.monotonically_increasing_id()), "sketch")
 
-    one = sketch.where("node is not null").select("node", "n", "filed").dropDuplicates(["node"])
+    # one row of each node
+    rows = few(s.keep(sketch.where("node is not null").groupBy("node").agg(F.min("row").alias("row")).select("row"), "rows"))
+    one = sketch.join(rows, "row", "left_semi")
     filed = one.select("node", "n", F.explode("filed").alias("f")).select("node", "n", "f.c", "f.home", F.explode("f.sigs").alias("sig"))
-    file = Window.partitionBy("c", "sig")
-    filed = filed.withColumn("cnt", F.count("*").over(file)).withColumn("homes", F.sum(F.col("home").cast("int")).over(file))
-    filed = s.keep(filed.where("cnt > 1 and homes > 0").drop("homes"), "filed")
+    # names of files say their class; counted with map-side combine and joined, as a file may hold a third of all nodes
+    several = filed.groupBy("sig").agg(F.count("*").alias("cnt"), F.max("home").alias("home")).where("cnt > 1 and home").select("sig")
+    filed = s.keep(filed.join(few(s.keep(several, "several")), "sig"), "filed")
     # files with the same members say the same: one of them stays
     same = filed.groupBy("c", "sig").agg(F.count("*").alias("cnt"), F.sum(F.xxhash64("node", "home").cast("decimal(38,0)")).alias("h"))
-    same = same.groupBy("c", "cnt", "h").agg(F.min("sig").alias("sig")).select("c", "sig")
-    filed = s.keep(filed.join(same, ["c", "sig"]), "files")
-    s.drop("filed")
+    same = same.groupBy("c", "cnt", "h").agg(F.min("sig").alias("sig")).select("c", "sig", "cnt")
+    filed = s.keep(filed.join(few(s.keep(same, "same")), ["c", "sig"]), "files")
+    s.drop("filed", "several", "same")
 
-    maps = sketch.where("node is not null").select("node", "bitmap")
     used = few(s.keep(filed.select("node").distinct(), "used"))
-    maps = s.keep(maps.join(used, "node", "left_semi").dropDuplicates(["node"]), "maps")
+    maps = s.keep(one.select("node", "bitmap").join(used, "node", "left_semi"), "maps")
 
     blocks = F.ceil(F.col("cnt") / BLOCK)
     first = filed.withColumn("block", F.pmod(F.xxhash64("node", "sig"), blocks).cast("int")).join(maps, "node")
     first = first.repartition("c", "sig", "block").sortWithinPartitions("c", "sig", "block", "n", "node")
     tried = s.keep(first.select("c", "sig", "block", "n", "node", "home", "bitmap").mapInArrow(tidy(_first_partners(percent)), _PAIRS).distinct(), "tried")
-    links = s.keep(_decided(s, docs, sketch, text_col, tried, n_words, percent, "first"), "links1")
+    links = s.keep(_decided(s, docs, one, text_col, tried, n_words, percent, "first"), "links1")
 
     if filed.limit(1).count():
-        label = s.keep(components(s, links), "label")
+        label = few(s.keep(components(s, links), "label"))
         now = filed.join(label, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         several = now.groupBy("c", "sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("cnt").alias("cnt")).where("x <> y")
+        several = few(s.keep(several.select("c", "sig", "cnt"), "several"))
         sizes = now.join(several.where(F.col("cnt") > BLOCK).select("c", "sig"), ["c", "sig"]).groupBy("c", "sig", "comp").count()
-        main = sizes.groupBy("c", "sig").agg(F.max_by("comp", "count").alias("main"), F.max("count").alias("mains"))
+        main = few(s.keep(sizes.groupBy("c", "sig").agg(F.max_by("comp", "count").alias("main"), F.max("count").alias("mains")), "main"))
         now = s.keep(now.join(several.select("c", "sig"), ["c", "sig"]).join(main, ["c", "sig"], "left"), "now")
         # members of a large file's largest component need no pairs among themselves
         is_main = F.coalesce(F.col("comp") == F.col("main"), F.lit(False))
@@ -372,19 +373,20 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, n_words: int, percent
         now = now.join(maps, "node").repartition("c", "sig", "bi", "bj").sortWithinPartitions("c", "sig", "bi", "bj", "side", "n", "node")
         more = now.select("c", "sig", "bi", "bj", "side", "n", "node", "home", "comp", "bitmap").mapInArrow(tidy(_across(percent)), _PAIRS).distinct()
         more = s.keep(more.join(tried, ["a", "b"], "left_anti"), "more")
-        links2 = s.keep(_decided(s, docs, sketch, text_col, more, n_words, percent, "second"), "links2")
+        links2 = s.keep(_decided(s, docs, one, text_col, more, n_words, percent, "second"), "links2")
         links = links.unionByName(links2)
-    label = s.keep(components(s, links), "labels")
-    s.drop("files", "maps", "used", "tried", "now", "more", "label")
+    label = few(s.keep(components(s, links), "labels"))
+    s.drop("files", "maps", "used", "tried", "now", "more", "label", "links1", "links2", "several", "main")
+    whole = sketch.select("doc_id", "text_hash", "n", "node").join(label, "node", "left").select(F.coalesce("component", "node").alias("comp"), "doc_id", "text_hash", "n")
+    whole = s.keep(whole, "whole")
+    s.drop("sketch", "rows", "labels")
+    return whole
 
-    return sketch.select("doc_id", "text_hash", "n", "node").join(label, "node", "left").select(F.coalesce("component", "node").alias("comp"), "doc_id", "text_hash", "n")
 
-
-def _decided(s: Scratch, docs: DataFrame, sketch: DataFrame, text_col: str, pairs: DataFrame, n_words: int, percent: int, name: str) -> DataFrame:
-    """Those of the pairs of nodes that link, decided on the whole sets, made again from the texts."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = sketch.select("node", "text_hash").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
-    texts = few(s.keep(texts, f"{name}_texts"))
+def _decided(s: Scratch, docs: DataFrame, one: DataFrame, text_col: str, pairs: DataFrame, n_words: int, percent: int, name: str) -> DataFrame:
+    """Those of the pairs of nodes that link, decided on the whole sets, made again from the texts of ``one`` row of each node."""
+    wanted = few(s.keep(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), f"{name}_wanted"))
+    texts = few(s.keep(one.select("node", "text_hash").join(wanted, "node", "left_semi"), f"{name}_texts"))
 
     def sets(batches):
         for b in batches:
@@ -406,7 +408,7 @@ def _decided(s: Scratch, docs: DataFrame, sketch: DataFrame, text_col: str, pair
 
     both = pairs.join(sets_.select(F.col("node").alias("a"), F.col("h").alias("x")), "a").join(sets_.select(F.col("node").alias("b"), F.col("h").alias("y")), "b")
     out = s.keep(both.select("a", "b", "x", "y").mapInArrow(tidy(decide), _PAIRS), f"{name}_links", batch=500)
-    s.drop(f"{name}_texts", f"{name}_sets")
+    s.drop(f"{name}_wanted", f"{name}_texts", f"{name}_sets")
     return out
 
 
@@ -414,23 +416,25 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs``, all columns, one of each group: that of the smallest id, null being the largest.
 
     Rows are told apart by id and hash of the text; of several with the same of
-    both one stays.  Rows without words belong to no group and stay.
+    both one stays.  Rows without words belong to no group and stay.  No column
+    of the input is changed, whatever its name.
     """
     s = Scratch(docs.sparkSession, "jaccard-kept")
-    key = ["__id", "__text"]
-    whole = _labelled(docs, id_col, text_col, n_words, percent).where("comp is not null")
-    rows = s.keep(whole.groupBy("comp", F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")).count(), "rows")
-    first = rows.groupBy("comp").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), *key)).alias("first"))
-    first = s.keep(first.select("first.__id", "first.__text"), "first")
+    key = unused(docs, "__id", "__text")
+    id_, text_ = key
+    whole = _labelled(s, docs, id_col, text_col, n_words, percent).where("comp is not null")
+    rows = s.keep(whole.groupBy("comp", F.col("doc_id").alias(id_), F.col("text_hash").alias(text_)).count(), "told")
+    first = rows.groupBy("comp").agg(F.min(F.struct(F.col(id_).isNull().alias("none"), *key)).alias("first"))
+    first = few(s.keep(first.select(f"first.{id_}", f"first.{text_}"), "first"))
 
     def same(a: DataFrame, b: DataFrame) -> Column:
-        return a["__id"].eqNullSafe(b["__id"]) & (a["__text"] == b["__text"])
+        return a[id_].eqNullSafe(b[id_]) & (a[text_] == b[text_])
 
     gone = few(s.keep(rows.join(first, same(rows, first), "left_anti").select(*key), "gone"))
     several = rows.where("count > 1")
     again = s.keep(several.join(first, same(several, first), "left_semi").select(*key), "again")
-    s.drop("rows", "first")
-    named = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__text", F.xxhash64(text_col))
+    s.drop("told", "first", "whole")
+    named = docs.withColumn(id_, F.col(id_col).cast("long")).withColumn(text_, F.xxhash64(text_col))
     kept = named.join(gone, same(named, gone), "left_anti")
     if again.count():
         again = few(again)

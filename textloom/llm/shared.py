@@ -2,7 +2,7 @@
 
 Scratch tables live under the folder named by ``spark.checkpoint.dir``, which
 driver and executors share; a folder of our own is made only where that setting
-is absent (tests).  Lineage is cut by writing Parquet there and reading it
+is absent and Spark runs in one process (tests).  Lineage is cut by writing Parquet there and reading it
 back, so a lost executor costs at most the step that was running.
 """
 
@@ -13,6 +13,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -31,6 +32,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from the session."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="textloom-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -52,13 +55,9 @@ class Scratch:
 
         ``batch``: rows of an Arrow batch meanwhile, for steps whose rows are large.
         """
-        schema, conf, key = df.schema, self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = conf.get(key)
-        conf.set(key, str(min(batch, int(before)) if int(before) > 0 else batch))
-        try:
+        schema = df.schema
+        with _batches(self.spark, batch):
             df.write.mode("overwrite").parquet(self.path(name))
-        finally:
-            conf.set(key, before)
         del df
         gc.collect()
         self.spark._jvm.System.gc()  # lets Spark's cleaner delete shuffle files of finished steps
@@ -77,13 +76,47 @@ class Scratch:
             pass
 
 
-def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows are within ``rows``.
+_lock, _held = threading.Lock(), {}
+
+
+@contextlib.contextmanager
+def _batches(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows; of steps that run at the same time the last one restores the setting."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    with _lock:
+        now = spark.conf.get(key)
+        held = _held.setdefault(id(spark), {"before": now, "steps": 0})
+        held["steps"] += 1
+        spark.conf.set(key, str(min(rows, int(now)) if int(now) > 0 else rows))
+    try:
+        yield
+    finally:
+        with _lock:
+            held["steps"] -= 1
+            if not held["steps"]:
+                spark.conf.set(key, _held.pop(id(spark))["before"])
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added where ``df`` has such a column already, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def few(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows are within ``rows`` (``BROADCAST_ROWS``).
 
     Only for narrow tables already written by ``Scratch.keep``: counting those
-    reads Parquet footers alone.
+    reads Parquet footers alone.  Beyond the bound both sides of the join get a
+    shuffle of their own, which adaptive execution can split where a key is
+    hot; an aggregate on the join key that was not written first could not.
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
 
 
 def tidy(run):
@@ -214,25 +247,32 @@ def components(scratch: Scratch, links: DataFrame, name: str = "cc") -> DataFram
 
     ``links`` has integer columns a and b, without loops.  Alternates large-star
     and small-star steps until no link changes (Kiveris et al., 2014): each step
-    is a grouped minimum with map-side combine and a join that adaptive
-    execution can split, so a hub does not land in one task.
+    is a grouped minimum with map-side combine and then a join with it: by
+    broadcast where the links are few enough to bound it, else written first,
+    so that adaptive execution can split the join (``few``) and a hub does not
+    land in one task.
     """
+
+    def beside(least: DataFrame, name: str) -> DataFrame:
+        # a link has two nodes
+        return F.broadcast(least) if 2 * size <= BROADCAST_ROWS else few(scratch.keep(least, name))
+
     now = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}0")
-    mark, k = None, 0
+    mark, k, size = None, 0, now.count()
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        least = beside(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), f"{name}{k}a")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch.keep(large, f"{name}{k}l")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = beside(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}{k}b")
         star = large.join(least, "u")
         small = star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         then = scratch.keep(small, f"{name}{k + 1}")
-        scratch.drop(f"{name}{k}", f"{name}{k}l")
+        scratch.drop(*[f"{name}{k}{x}" for x in ("", "a", "l", "b")])
         found = then.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(found) == mark:
             break
-        mark, now, k = tuple(found), then, k + 1
+        mark, now, k, size = tuple(found), then, k + 1, found[0]
     # stable: every link leads from a node to the least of its component
     return then.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(then.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
