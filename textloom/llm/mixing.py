@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .shared import Scratch
+from .shared import Scratch, unused
 
 #: Sources, and bytes of their names, up to which their rates are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_SOURCES, BROADCAST_BYTES = 10_000, 16_000_000
@@ -102,38 +102,40 @@ def rates(docs: DataFrame, targets: Mapping[str, float] | None, total: float | N
     return sizes.select("source", (F.col("weight") * scale / F.col("n")).alias("rate"))
 
 
-def mix_sources(docs: DataFrame, targets: Mapping[str, float] | None = None, total: float | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The input's columns with rows repeated or left out, in global random order, plus ``mix_rate`` and ``mix_copy`` (long, from 0).
+def mix_sources(docs: DataFrame, targets: Mapping[str, float] | None = None, total: float | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rate_col: str = "mix_rate", copy_col: str = "mix_copy") -> DataFrame:
+    """The input's columns with rows repeated or left out, in global random order, plus ``rate_col`` and ``copy_col`` (long, from 0).
 
     Repeated rows draw the same number, each for itself.  Null ids and texts
     read as '' in the hash.  No rows: none.  Columns of the input that are
-    called mix_rate, mix_copy, mix_source, mix_n, mix_step or mix_order are dropped.
+    called as the two new ones give way to them; all others stay.
     """
-    base = docs.drop("mix_rate", "mix_copy", "mix_source", "mix_n", "mix_step", "mix_order")
+    base = docs.drop(rate_col, copy_col)
+    named, n, step, order = unused(base.withColumn(rate_col, F.lit(0)).withColumn(copy_col, F.lit(0)), "mix_source", "mix_n", "mix_step", "mix_order")
     s = Scratch(docs.sparkSession, "mixing")
-    table = s.keep(rates(base, targets, total, source_col).select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate")), "rates")
-    size = table.agg(F.count("*"), F.sum(F.octet_length("mix_source")), F.max("mix_rate")).first()
+    table = s.keep(rates(base, targets, total, source_col).select(F.col("source").alias(named), F.col("rate").alias(rate_col)), "rates")
+    size = table.agg(F.count("*"), F.sum(F.octet_length(named)), F.max(rate_col)).first()
     if size[0] <= BROADCAST_SOURCES and (size[1] or 0) <= BROADCAST_BYTES:
         table = F.broadcast(table)
     u = uniform(F.lit(seed), F.col(id_col), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
 
     def drawn(table: DataFrame) -> DataFrame:
-        rows = base.join(table, F.col(source_col).cast("string").eqNullSafe(F.col("mix_source")))
-        return rows.withColumn("mix_n", _copies(F.col("mix_rate"), u)).where("mix_n > 0")
+        rows = base.join(table, F.col(source_col).cast("string").eqNullSafe(F.col(named)))
+        return rows.withColumn(n, _copies(F.col(rate_col), u)).where(F.col(n) > 0)
 
-    rows = drawn(table.where(F.col("mix_rate") <= HEAVY)).withColumn("mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_n") - 1)))
+    zero = F.lit(0).cast("long")
+    rows = drawn(table.where(F.col(rate_col) <= HEAVY)).withColumn(copy_col, F.explode(F.sequence(zero, F.col(n) - 1)))
     if (size[2] or 0) > HEAVY:
         # few documents, as a source's rate goes down with their number
-        heavy = drawn(table.where(F.col("mix_rate") > HEAVY)).withColumn("mix_step", F.lit(0).cast("long"))
-        for step in (CHUNK * CHUNK, CHUNK):
-            last = F.floor((F.col("mix_n") - 1 - F.col("mix_step")) / step)
-            last = F.least(last, F.lit(CHUNK - 1)) if step == CHUNK else last
-            heavy = heavy.withColumn("mix_step", F.explode(F.sequence(F.col("mix_step"), F.col("mix_step") + last * step, F.lit(step).cast("long"))))
-            heavy = heavy.repartition(F.xxhash64(id_col, "mix_step"))
-        last = F.least(F.lit(CHUNK).cast("long"), F.col("mix_n") - F.col("mix_step")) - 1
-        heavy = heavy.withColumn("mix_copy", F.explode(F.sequence("mix_step", F.col("mix_step") + last)))
-        rows = rows.unionByName(heavy.drop("mix_step"))
+        heavy = drawn(table.where(F.col(rate_col) > HEAVY)).withColumn(step, zero)
+        for size_ in (CHUNK * CHUNK, CHUNK):
+            last = F.floor((F.col(n) - 1 - F.col(step)) / size_)
+            last = F.least(last, F.lit(CHUNK - 1)) if size_ == CHUNK else last
+            heavy = heavy.withColumn(step, F.explode(F.sequence(F.col(step), F.col(step) + last * size_, F.lit(size_).cast("long"))))
+            heavy = heavy.repartition(F.xxhash64(id_col, step))
+        last = F.least(F.lit(CHUNK).cast("long"), F.col(n) - F.col(step)) - 1
+        heavy = heavy.withColumn(copy_col, F.explode(F.sequence(F.col(step), F.col(step) + last)))
+        rows = rows.unionByName(heavy.drop(step))
     # the order is a hash, so dealing rows by it needs no sample of them
-    order = F.xxhash64(F.lit(seed + 1), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col), F.col("mix_copy"))
-    rows = rows.withColumn("mix_order", order).repartition("mix_order").sortWithinPartitions("mix_order")
-    return rows.select(*base.columns, "mix_rate", "mix_copy")
+    hashed = F.xxhash64(F.lit(seed + 1), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col), F.col(copy_col))
+    rows = rows.withColumn(order, hashed).repartition(order).sortWithinPartitions(order)
+    return rows.select(*base.columns, rate_col, copy_col)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .mixing import uniform
-from .shared import Scratch
+from .shared import Scratch, few
 
 #: Rows numbered together, on average, when slots are given out.
 BUCKET_ROWS = 20_000
@@ -82,8 +82,10 @@ def shards(docs: DataFrame, tree: Node, more: Node | None = None, id_col: str =
 
     size: UTF-8 bytes of the text (null: none) plus 1; text_crc32: unsigned, of
     those bytes.  slot: place of the row in its shard, gapless from 0, in order
-    of a hash of the id, then id, checksum and size.  Rows with equal ids lie in
-    one shard; null ids are an id of their own (the empty one).  No rows: none.
+    of a hash of the id, then id, checksum and size; rows of an id with more
+    than ``BUCKET_ROWS`` of them follow the others of their bucket, dealt by
+    hash over parts of about that size.  Rows with equal ids lie in one shard;
+    null ids are an id of their own (the empty one).  No rows: none.
     """
     s = Scratch(docs.sparkSession, "shards")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
@@ -91,12 +93,17 @@ def shards(docs: DataFrame, tree: Node, more: Node | None = None, id_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), key.alias("key"))
     rows = rows.withColumn("order", uniform(F.lit(seed + 1), F.col("key")))
     rows = rows.withColumn("shard", placed(tree, F.col("key"), seed).cast("int")).withColumn("grown_shard", (placed(more, F.col("key"), seed) if more else F.lit(None)).cast("int"))
-    rows = s.keep(rows.drop("key"), "rows")
+    rows = s.keep(rows.drop("key").withColumn("row", F.monotonically_increasing_id()), "rows")
     # buckets are ranges of the order, so slots follow it over all of them; their number follows that of rows
     buckets = max(1, math.ceil(rows.count() / BUCKET_ROWS))
     rows = rows.withColumn("bucket", F.floor(F.col("order") * buckets).cast("int"))
-    sizes = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    base = sizes.withColumn("base", F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).drop("n")
-    rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("order", "doc_id", "text_crc32", "size")) - 1
-    out = rows.withColumn("rank", rank).join(base, ["shard", "bucket"])
+    # an id of very many rows is no bucket's: its rows are dealt over parts of their own
+    many = rows.groupBy("order").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ROWS)
+    many = few(s.keep(many.select("order", F.col("order").alias("many"), F.ceil(F.col("n") / BUCKET_ROWS).alias("parts")), "many"))
+    rows = rows.join(many, "order", "left").withColumn("many", F.coalesce("many", F.lit(-1.0))).withColumn("part", F.when(F.col("many") >= 0, F.pmod(F.xxhash64("row"), F.col("parts"))).otherwise(0).cast("int"))
+    unit = ["shard", "bucket", "many", "part"]
+    sizes = rows.groupBy(*unit).agg(F.count("*").alias("n"))
+    base = sizes.withColumn("base", F.sum("n").over(Window.partitionBy("shard").orderBy(*unit[1:])) - F.col("n")).drop("n")
+    rank = F.row_number().over(Window.partitionBy(*unit).orderBy("order", "doc_id", "text_crc32", "size", "row")) - 1
+    out = rows.withColumn("rank", rank).join(base, unit)
     return out.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank")).cast("long").alias("slot"), "grown_shard")
