@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -46,18 +47,34 @@ class Distinct:
         return slots[self.last[slots] == order]
 
 
+#: UTF-8 bytes of texts on which a classifier is fitted, at most.
+SAMPLE_BYTES = 64_000_000
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, use: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, y): at most ``per_class`` labelled rows of each class, the first by a hash of their id.
+    """(text, y): at most ``per_class`` labelled rows of each class and ``SAMPLE_BYTES`` of text in all, whole texts.
 
-    ``use`` is a condition on ``doc_id``.  Label rows without a text, an id or
-    a label, and ids that appear with both labels, do not count.
+    The first ones by a hash of their id, then by one of their text; a text
+    that no longer fits is passed over.  ``use`` is a condition on ``doc_id``.
+    Label rows without a text, an id or a label, and ids that appear with both
+    labels, do not count; rows that are equal in id and text count once.
     """
     rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).where(use)
     rows = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("doc_id", "y")
     first = [rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    # at most 2 * per_class rows are broadcast
+    # at most 2 * per_class ids are broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
-    return texts.join(F.broadcast(first[0].unionByName(first[1])), "doc_id").select("text", "y")
+    near = texts.join(F.broadcast(first[0].unionByName(first[1])), "doc_id").select("doc_id", F.xxhash64("text").alias("hash"), F.octet_length("text").alias("bytes"), "y")
+    taken, left = [], SAMPLE_BYTES
+    # an id may have any number of texts, so of them, too, only the first come here: at most 2 * per_class rows
+    by_class = [near.where(F.col("y") == y).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "hash").limit(per_class).collect() for y in (0, 1)]
+    for pair in zip_longest(*by_class):
+        for r in filter(None, pair):
+            if r["bytes"] <= left:
+                taken.append((r["doc_id"], r["hash"], r["y"]))
+                left -= r["bytes"]
+    wanted = docs.sparkSession.createDataFrame(taken, "doc_id long, hash long, y int")
+    return texts.withColumn("hash", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).select("text", "y")
 
 
 def fitted(sample: DataFrame, fit) -> list[np.ndarray]:
