@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import debruijn, decontam, int8_near, jaccard_tree, mixing, quality, sharding, textfeatures, tokens, toxicity, url_lm
+from .shared import Scratch
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,7 +20,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_files(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     import public_tokenizers
 
-    folder = tokens.new_folder(spark)
+    folder = Scratch(spark, "tokens").path("files")
     tokens.write_tokens(_read(spark, sf_dir, "documents"), folder, vocabulary or public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return tokens.read_tokens(spark, folder)
 
@@ -68,7 +69,47 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_jaccard_join, op4_embedding_neighbours, op5_url_filter, op6_substring_dedup, op7_toxicity, op8_quality, op9_mixing, op10_sharding)}
 
+_WORDS = "list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _drawn(key: str, *parts: str) -> str:
+    """The number in [0, 1) that ``mixing.uniform`` makes of literals and a key."""
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(repr(p) for p in parts)}{', ' if parts else ''}{key})), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+def _placed(tree: sharding.Node, key: str, seed: int = 29) -> str:
+    """The shard of a key in a tree, as SQL."""
+    if not tree.children:
+        return str(tree.shard)
+    if len(tree.children) == 1:
+        return _placed(tree.children[0], key, seed)
+    draws = [f"(-ln(1.0::DOUBLE - {_drawn(key, str(seed), c.name)}) / {c.total!r}::DOUBLE)" for c in tree.children]
+    cases = " ".join(f"WHEN {d} THEN {_placed(c, key, seed)}" for d, c in zip(range(1, len(draws) + 1), tree.children, strict=True))
+    return f"(CASE list_position([{', '.join(draws)}], least({', '.join(draws)})) {cases} END)"
+
+
+#: crc32 (reflected, 0xEDB88320) of the bytes of a text's hexadecimal digits, a byte at a time over a table.
+_CRC = """list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+    lambda c, b: xor(c >> 8, list_extract(t, (xor(c, b) & 255) + 1)))"""
+
 ORACLE_SQL = {
+    "op3_jaccard_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")} AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 2], ' ')) AS s FROM w, LATERAL (SELECT unnest(range(1, greatest(len(ws) - 1, 2))) AS i) WHERE len(ws) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM both_ JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE 100 * x >= 90 * (p.n + q.n - x)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+        SELECT a AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(b) AS component_id FROM reach LEFT JOIN n ON a = n.doc_id GROUP BY a
+    """,
+    "op10_sharding": f"""
+        WITH bits AS (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i)),
+        crc AS (SELECT list(v ORDER BY i) AS t FROM bits),
+        d AS (SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size, xor({_CRC}, 4294967295)::BIGINT AS text_crc32, coalesce(doc_id::VARCHAR, '') AS key FROM documents, crc),
+        placed AS (SELECT *, {_placed(sharding.even_tree(8), "key")}::INTEGER AS shard, {_placed(sharding.grown(sharding.even_tree(8), 8), "key")}::INTEGER AS grown_shard, {_drawn("key", "30")} AS u FROM d)
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY u, doc_id, text_crc32, size) - 1)::BIGINT AS slot, grown_shard FROM placed
+    """,
     "op4_embedding_neighbours": """
         WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
             WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
