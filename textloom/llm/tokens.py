@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_folder, tidy
+from .shared import tidy
 
 #: A space between two characters that are no white space: the tokenizer's
 #: pre-tokenizer always cuts before it, so the pieces are encoded alone.
@@ -179,12 +179,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
     """Write a dataset and return its manifest's shards.
 
     Null and empty texts become a document of the end id alone.  Rows with
-    equal ids are separate documents, ordered by text; null ids come first and
-    are stored as the least 64-bit integer.  Other columns are not read.  No
+    equal ids are separate documents, ordered by a hash of the text and dealt
+    over shards by it; null ids come first and are stored as the least 64-bit integer.  Other columns are not read.  No
     rows: no shards.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = (rows.repartitionByRange(shards, "id") if shards else rows.repartitionByRange("id")).sortWithinPartitions("id", "text")
+    rows, keys = rows.withColumn("h", F.xxhash64("text")), ["id", "h"]
+    rows = (rows.repartitionByRange(shards, *keys) if shards else rows.repartitionByRange(*keys)).sortWithinPartitions(*keys, "text").select("id", "text")
     store, path = _open(folder)
     store.create_dir(path, recursive=True)
 
@@ -260,8 +261,3 @@ def token_ids(spark: SparkSession, folder: str, shard: int) -> np.ndarray:
     with store.open_input_file(path) as f:
         parts = {p["shard"]: p for p in json.loads(f.read())["shards"]}
     return _map(f"{folder}/ids-{shard:05d}.bin", f"<u{parts[shard]['width']}")
-
-
-def new_folder(spark: SparkSession) -> str:
-    """A fresh dataset folder beside the other shared tables."""
-    return f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
