@@ -130,3 +130,23 @@ def test_scores_against_brute_force_with_and_without_rare_runs(spark, monkeypatc
         monkeypatch.setattr(m, "BROADCAST_ROWS", most)
         got = {r["page_id"]: r["score"] for r in m.filter_urls(df, RULES).collect()}
         assert len(got) == len(urls) and all(abs(got[i] - w) < 1e-9 for i, w in enumerate(want))
+
+
+def test_calibrated_against_every_threshold():
+    rng = random.Random(12)
+    for _ in range(200):
+        bins = [(rng.randrange(-12, 12) / 4, rng.random() < 0.5, rng.randrange(1, 6)) for _ in range(rng.randrange(1, 12))]
+        good, bad = (max(1, sum(n for _, a, n in bins if a == side)) for side in (True, False))
+        accuracy = lambda t: sum(n for e, a, n in bins if a and e >= t) / good + sum(n for e, a, n in bins if not a and e < t) / bad  # noqa: E731, B023
+        best = max(accuracy(t / 8) for t in range(-30, 30) if any(e >= t / 8 for e, _, _ in bins))
+        assert abs(accuracy(m.calibrated(bins)) - best) < 1e-12
+    assert m.calibrated([]) == 0.0
+
+
+def test_long_repeated_urls_and_clashing_columns(spark):
+    long = "http://q.org/" + "item/" * 20_000
+    rows = [(1, long), (1, long), (2, "http://a.com/item/"), (3, "http://a.net/es/win"), (None, long)] * 3
+    df = spark.createDataFrame([(*r, *range(6)) for r in rows], "page_id long, url string, host int, path int, verdict int, score int, key int, side int").repartition(3)
+    got = m.filter_urls(df, RULES).collect()
+    assert Counter((r["page_id"], r["path"]) for r in got) == Counter((d, parse(u)[1]) for d, u in rows)
+    assert len({r["score"] for r in got if r["path"] == parse(long)[1]}) == 1
