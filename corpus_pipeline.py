@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import decontam, jaccard_tree, mixing, sharding, toxicity
-from textloom.llm.shared import shared_folder
+from textloom.llm.shared import Scratch, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +27,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that all sources weigh the same, in global random order."""
-    return mixing.mix_sources(docs).select(*docs.columns)
+    rate, copy = unused(docs, "mix_rate", "mix_copy")
+    return mixing.mix_sources(docs, rate_col=rate, copy_col=copy).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +43,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents through all stages, each written before the next reads it."""
+    """The documents through all stages, each written before the next reads it and deleted when the next is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    written = Scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+        stage(spark, docs, sf_dir).write.parquet(written.path(str(k)))
+        docs = spark.read.parquet(written.path(str(k)))
+        if k:
+            written.drop(str(k - 1))
     return STAGES[-1][1](spark, docs, sf_dir)
