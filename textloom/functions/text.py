@@ -26,7 +26,8 @@ def ascii_share(c: Column) -> Column:
 def is_english_line(c: Column) -> Column:
     """At least four characters after stripping, over 70 % of them ASCII."""
     s = stripped(c)
-    return F.coalesce((F.length(s) >= 4) & (ascii_share(s) > 0.7), F.lit(False))
+    # (least evaluates both sides, so the stripped text is made once)
+    return F.coalesce(F.least(F.length(s) >= 4, ascii_share(s) > 0.7), F.lit(False))
 
 
 def tidied(c: Column) -> Column:

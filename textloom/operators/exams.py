@@ -102,7 +102,10 @@ def questions(lines: DataFrame, doc: str, low: int = 18, high: int = LAST_NUMBER
 
 def is_vocabulary(line: Column) -> Column:
     """A word and its meaning: at most 45 characters, Latin first, Hangul inside, no marks of a sentence."""
-    s = stripped(line)
+    return _is_word(stripped(line))
+
+
+def _is_word(s: Column) -> Column:
     return (F.length(s) <= 45) & s.rlike("^[a-zA-Z~]") & ~s.rlike('[,.!?"]') & has_hangul(s)
 
 
@@ -113,19 +116,23 @@ def translation_of(lines: Column) -> Column:
     label or a group header.  Without: to a label, a group header, or
     vocabulary that is followed by more or by nothing.
     """
-    ends = lambda s: stripped(s).rlike(TRANSLATION_END) | stripped(s).rlike(LONE_GROUP)
+    # each line is stripped once
+    marked = F.transform(lines, lambda t: F.struct(t.alias("t"), stripped(t).alias("s")))
+    ends = lambda x: x["s"].rlike(TRANSLATION_END) | x["s"].rlike(LONE_GROUP)
+    texts = lambda xs: F.transform(xs, lambda x: x["t"])
 
     def labelled(ls: Column, at: Column) -> Column:
-        inline = stripped(F.regexp_extract(stripped(F.get(ls, at)), TRANSLATION, 1))
-        told = let(from_index(ls, at + 1), lambda r: before_index(r, first_index(r, ends)))
+        inline = stripped(F.regexp_extract(F.get(ls, at)["s"], TRANSLATION, 1))
+        told = let(from_index(ls, at + 1), lambda r: texts(before_index(r, first_index(r, ends))))
         return F.when(inline != "", F.concat(F.array(inline), told)).otherwise(told)
 
     def plain(ls: Column) -> Column:
-        words = lambda s, i: is_vocabulary(s) & ((i == F.size(ls) - 1) | F.coalesce(is_vocabulary(F.get(ls, i + 1)), F.lit(False)))
-        return before_index(ls, first_index(ls, lambda s, i: ends(s) | words(s, i)))
+        word = lambda x: _is_word(x["s"])
+        words = lambda x, i: word(x) & ((i == F.size(ls) - 1) | F.coalesce(word(F.get(ls, i + 1)), F.lit(False)))
+        return texts(before_index(ls, first_index(ls, lambda x, i: ends(x) | words(x, i))))
 
-    kept = F.filter(lines, lambda s: ~stripped(s).rlike(PAGE_NUMBER))
-    return let(kept, lambda ls: let(first_index(ls, lambda s: stripped(s).rlike(TRANSLATION)), lambda at: F.when(at.isNotNull(), labelled(ls, at)).otherwise(plain(ls))))
+    kept = F.filter(marked, lambda x: ~x["s"].rlike(PAGE_NUMBER))
+    return let(kept, lambda ls: let(first_index(ls, lambda x: x["s"].rlike(TRANSLATION)), lambda at: F.when(at.isNotNull(), labelled(ls, at)).otherwise(plain(ls))))
 
 
 def solution_of(lines: Column) -> Column:

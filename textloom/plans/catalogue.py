@@ -204,7 +204,9 @@ _SCORE = "CASE " + " ".join(f"WHEN regexp_matches(word, '(?:{e})$') THEN {n}" fo
 @query(f"WITH w AS (SELECT lang, unnest(string_split(replace(text, chr(10), ' '), ' ')) AS word FROM documents) SELECT lang, ({_SCORE})::INTEGER AS score, count(*) AS n FROM w WHERE word <> '' GROUP BY ALL")
 def break_scores(read):
     words = read("documents").select("lang", F.explode(F.split("text", "[ \n]")).alias("word")).where("word <> ''")
-    return words.groupBy("lang", break_score(F.col("word")).alias("score")).agg(F.count("*").alias("n"))
+    # a word is scored once, however often it stands there
+    words = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    return words.groupBy("lang", break_score(F.col("word")).alias("score")).agg(F.sum("n").alias("n"))
 
 
 @query(None)
