@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from textloom.llm import jaccard_tree as jt
+from textloom.llm import shared
 from textloom.llm.shared import shingles
 
 
@@ -55,7 +56,12 @@ def corpus(seed, count=120):
 @pytest.mark.parametrize(("n_words", "percent"), [(3, 90), (5, 80)])
 @pytest.mark.parametrize("block", [8, 1024])
 def test_against_brute_force(spark, monkeypatch, n_words, percent, block):
+    """With blocks smaller than files, files found large by a sample, and joins that are not broadcast, and without."""
     monkeypatch.setattr(jt, "BLOCK", block)
+    if block == 8:
+        monkeypatch.setattr(jt, "SAMPLE", 60)
+        monkeypatch.setattr(jt, "SAMPLE_LARGE", 2)
+        monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
     rows = corpus(block + percent)
     got = jt.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n_words=n_words, percent=percent)
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows, n_words, percent)

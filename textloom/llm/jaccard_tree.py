@@ -34,7 +34,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, components, few, group_starts, mix, shingles, signed, tidy, unused, whole_groups
@@ -43,6 +43,8 @@ from .shared import Scratch, components, few, group_starts, mix, shingles, signe
 BLOCK = 1024
 #: Members of a leaf of a tree, and children of an inner node.
 LEAF, FANOUT = 32, 8
+#: Nodes, on average, in a sample that finds large files, and members in it from which on a file is one.
+SAMPLE, SAMPLE_LARGE = 20_000, 16
 #: A size class spans this many steps of the size ratio that links allow.
 STEPS = 2
 
@@ -331,17 +333,25 @@ def _labelled(s: Scratch, docs: DataFrame, id_col: str, text_col: str, n_words:
     sketch = s.keep(sketches(docs, id_col, text_col, n_words, percent).withColumn("row", F.monotonically_increasing_id()), "sketch")
 
     # one row of each node
-    rows = few(s.keep(sketch.where("node is not null").groupBy("node").agg(F.min("row").alias("row")).select("row"), "rows"))
-    one = sketch.join(rows, "row", "left_semi")
-    filed = one.select("node", "n", F.explode("filed").alias("f")).select("node", "n", "f.c", "f.home", F.explode("f.sigs").alias("sig"))
-    # names of files say their class; counted with map-side combine and joined, as a file may hold a third of all nodes
-    several = filed.groupBy("sig").agg(F.count("*").alias("cnt"), F.max("home").alias("home")).where("cnt > 1 and home").select("sig")
-    filed = s.keep(filed.join(few(s.keep(several, "several")), "sig"), "filed")
+    rows = s.keep(sketch.where("node is not null").groupBy("node").agg(F.min("row").alias("row")).select("row"), "rows")
+    one = sketch.join(few(rows), "row", "left_semi")
+    share = min(1.0, SAMPLE / max(1, rows.count()))
+
+    def members(nodes: DataFrame) -> DataFrame:
+        return nodes.select("node", "n", F.explode("filed").alias("f")).select("node", "n", "f.c", "f.home", F.explode("f.sigs").alias("sig"))
+
+    # a file may hold a third of all nodes: files that a sample shows to be large stay without being counted, and are dealt over many tasks
+    some = members(one.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(share * 1_000_000)))
+    large = few(s.keep(some.groupBy("sig").count().where(F.col("count") >= SAMPLE_LARGE).select("sig", F.lit(True).alias("large")), "large"))
+    filed = members(one).join(large, "sig", "left").withColumn("deal", F.when(F.col("large"), F.xxhash64("node")).otherwise(0)).drop("large")
+    file = Window.partitionBy("c", "sig", "deal")
+    filed = filed.withColumn("cnt", F.count("*").over(file)).withColumn("homes", F.count_if("home").over(file))
+    filed = s.keep(filed.where("deal <> 0 or (cnt > 1 and homes > 0)").drop("cnt", "homes", "deal"), "filed")
     # files with the same members say the same: one of them stays
     same = filed.groupBy("c", "sig").agg(F.count("*").alias("cnt"), F.sum(F.xxhash64("node", "home").cast("decimal(38,0)")).alias("h"))
     same = same.groupBy("c", "cnt", "h").agg(F.min("sig").alias("sig")).select("c", "sig", "cnt")
     filed = s.keep(filed.join(few(s.keep(same, "same")), ["c", "sig"]), "files")
-    s.drop("filed", "several", "same")
+    s.drop("filed", "large", "same")
 
     used = few(s.keep(filed.select("node").distinct(), "used"))
     maps = s.keep(one.select("node", "bitmap").join(used, "node", "left_semi"), "maps")
