@@ -10,7 +10,10 @@ fewer words has its whole sequence as one n-gram).
    parts than linked sets can differ in elements, so they agree in whole parts;
    a node is filed once under the elements of each part.  What can link shares
    a file; most files hold one node and go.  Common n-grams do not make large
-   files, as the other elements of a part tell its texts apart.
+   files, as the other elements of a part tell its texts apart; large groups of
+   near copies do.  A file with ``SAMPLE_LARGE`` members among about ``SAMPLE``
+   nodes is dealt over many tasks instead of being counted in one: which files
+   that is decides where rows go, not which of them are compared.
 3. Each file becomes a signature tree: leaves of nodes sorted by size, inner
    nodes with OR-combined bitmaps and size ranges.  A dual traversal drops
    pairs of tree nodes whose sizes cannot link or whose maximum possible
