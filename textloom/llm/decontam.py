@@ -8,9 +8,8 @@ passages of all documents:
 2. a randomised factorisation of their TF-IDF matrix A in one pass: with a
    Gaussian test matrix W, ``Z = A'(A W)`` is summed over the tasks, and the
    Nystroem form ``A'A ~ Z (W'Z)^-1 Z'`` gives the leading right singular
-   vectors and values (Halko, Martinsson and Tropp, 2011).  This fit of the
-   index takes the items and about ``FIT_WORDS`` words of documents, chosen by
-   a hash of the text; a corpus up to that size is taken whole;
+   vectors and values (Halko, Martinsson and Tropp, 2011).  The items and all
+   passages of all documents count in it;
 3. each overlapping passage of every document is projected and compared by cosine with the
    projected benchmark passages; passages most of whose TF-IDF weight lies
    outside the vocabulary are not candidates.
@@ -38,14 +37,16 @@ from pyspark.sql import functions as F
 from .shared import Scratch, blocks_of, few, summed_blocks, summed_rows, tidy, unused
 
 BLOCK_WORDS, RANK, ANSWER_WORDS = 500_000, 64, 8
-#: Words of documents on which the latent space is fitted, on average.
-FIT_WORDS = 4_000_000
+#: None: the latent space is fitted on all documents.  A number makes it about so many words of them, chosen by a hash of the text.
+FIT_WORDS: int | None = None
 #: Words of the passages that are compared, widest first; items shorter than all take the last.
 WIDTHS = (24, 12, 8)
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _PIECES = 128
 #: Words of documents taken at once, whatever their lengths, and passages of items compared at once.
 _PIECE, _QUERIES = 40_000, 2048
+#: Words of documents whose products are summed at once; small enough for the cache.
+_SUMMED = 20_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -112,37 +113,38 @@ class Block:
         test = np.random.default_rng(seed).normal(size=(d, rank))
         # words in more than a twentieth of all passages tell little and are most of the text
         rare = self.idf > np.log(20)
-        shared = docs.sparkSession.sparkContext.broadcast((self.number, np.append(np.where(rare, self.idf, 0.0), 0.0).astype(np.float32), test.astype(np.float32)))
+        weight = np.where(rare, self.idf, 0.0).astype(np.float32)
+        shared = docs.sparkSession.sparkContext.broadcast((self.number, np.append(rare, False), weight[:, None] * test.astype(np.float32)))
 
         def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, idf, w = shared.value
+            names, known, w = shared.value
             z = np.zeros((d, rank), np.float32)
+            numbers, owners, size, at = [], [], 0, 0
             for b in batches:
-                numbers, owners, at, size = [], [], 0, 0
                 for text in b["text"]:
                     ws = words_of(text.as_py())
                     n = np.fromiter(map(names.get, ws, repeat(d)), np.int32, len(ws))
-                    k = np.flatnonzero(idf[n] > 0)
-                    for lo in range(0, len(k), _PIECE):
-                        part = k[lo : lo + _PIECE]
+                    k = np.flatnonzero(known[n])
+                    for lo in range(0, len(k), _SUMMED):
+                        part = k[lo : lo + _SUMMED]
                         numbers.append(n[part]), owners.append(at + part // width)
                         size += len(part)
-                        if size >= _PIECE:
-                            z += _gram(np.concatenate(numbers), np.concatenate(owners), idf, w)
+                        if size >= _SUMMED:
+                            _gram(np.concatenate(numbers), np.concatenate(owners), w, z)
                             numbers, owners, size = [], [], 0
                     at += -(-len(ws) // width)
-                if numbers:
-                    z += _gram(np.concatenate(numbers), np.concatenate(owners), idf, w)
+            if numbers:
+                _gram(np.concatenate(numbers), np.concatenate(owners), w, z)
             touched = np.flatnonzero(z.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(touched, pa.int64()), pa.array([z[k].tobytes() for k in touched], pa.binary())], names=["k", "data"])
 
-        share = min(1.0, FIT_WORDS / max(1.0, sums[d] * width))
-        if share < 1:
-            texts = texts.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+        if FIT_WORDS is not None and FIT_WORDS < sums[d] * width:
+            texts = texts.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000)) < int(FIT_WORDS / (sums[d] * width) * 1_000_000))
         z = summed_rows(texts.mapInArrow(tidy(products), "k long, data binary"), d, rank)
-        idf = np.where(rare, self.idf, 0.0).astype(np.float32)
         if own:
-            z += _gram(np.concatenate(own), np.repeat(np.arange(len(own)), [len(n) for n in own]), idf, test.astype(np.float32))
+            _gram(np.concatenate(own), np.repeat(np.arange(len(own)), [len(n) for n in own]), weight[:, None] * test, z)
+        # a word's own weight is a factor of its whole row
+        z *= weight[:, None]
         core = test.T @ z
         values, vectors = np.linalg.eigh((core + core.T) / 2)
         good = values > values.max(initial=0) * 1e-8
@@ -154,20 +156,25 @@ class Block:
         self.queries = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-20)
 
 
-def _gram(numbers: np.ndarray, owners: np.ndarray, idf: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """A'(A w) of the passages whose words are given; owners ascend."""
-    z = np.zeros_like(w)
+def _gram(numbers: np.ndarray, owners: np.ndarray, w: np.ndarray, z: np.ndarray) -> None:
+    """Adds B'(B w) to z, where B counts the given words in their passages; owners ascend."""
     if not len(numbers):
-        return z
-    weight = idf[numbers][:, None]
+        return
     first = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
-    y = np.add.reduceat(weight * w[numbers], first, axis=0)
-    back = weight * y[np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(numbers)]))]
+    sizes = np.diff(np.r_[first, len(numbers)])
+    # longest passages first: those that have a next word are a prefix
+    longest = np.argsort(-sizes, kind="stable")
+    begin, falling = first[longest], -sizes[longest]
+    y = w[numbers[begin]]
+    for k in range(1, -falling[0]):
+        m = np.searchsorted(falling, -k)
+        y[:m] += w[numbers[begin[:m] + k]]
+    place = np.empty(len(first), np.int64)
+    place[longest] = np.arange(len(first))
     order = np.argsort(numbers, kind="stable")
     sorted_ = numbers[order]
     at = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-    z[sorted_[at]] = np.add.reduceat(back[order], at, axis=0)
-    return z
+    z[sorted_[at]] += np.add.reduceat(y[np.repeat(place, sizes)[order]], at, axis=0)
 
 
 def _sums(weights: np.ndarray, s: int) -> np.ndarray:
