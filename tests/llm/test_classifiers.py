@@ -167,3 +167,34 @@ def test_sample_is_bounded_in_rows_and_bytes(spark, monkeypatch):
     assert len(every(10)) == 12 and every(10) == every(10)
     monkeypatch.setattr(textfeatures, "SAMPLE_BYTES", 100)
     assert sum(len(t) for t, _ in every(1000)) <= 100 and ("b", 0) in every(1000)
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, tmp_path, monkeypatch):
+    """Of 1,900 toxic rows the last 400, by a hash of their id, alone hold one of two marks; the rows are dealt into parts."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 7))) for _ in range(200)]
+    ids = [r["doc_id"] for r in spark.range(6000).withColumnRenamed("id", "doc_id").where(textfeatures.remainder(4) != 2).orderBy(F.xxhash64("doc_id")).collect()]
+    toxic, clean = ids[:1900], ids[1900:]
+    text = lambda mark="": " ".join([*rng.choices(words, k=12), mark])
+    rows = [(d, text("zonk" if k < 1500 else "qworp")) for k, d in enumerate(toxic)] + [(d, text()) for d in clean]
+    new = [(10_000 + k, text("qworp" if k % 2 else "")) for k in range(40)]
+    docs = spark.createDataFrame(rows + new, "doc_id long, text string").repartition(5)
+    spark.createDataFrame([(d, int(k < 1900)) for k, d in enumerate(ids)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()}
+    assert {d for d, _ in new if d in kept} == {d for d, _ in new if d % 2 == 0}
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(toxicity, "PART_ROWS", 1000)
+    one, two = (toxicity.train(d, labels) for d in (docs, docs.repartition(2)))
+    assert one.bias == two.bias and (one.weights == two.weights).all()
+    assert all((one.score(t) >= 0.3) == (d % 2 == 1) for d, t in new)
+    # slots with weights are those whose exact counts differ by more than chance
+    slots = {d: toxicity.features(t) for d, t in rows}
+    p, q = (np.bincount(np.concatenate([slots[d] for d in some]), minlength=1 << toxicity.BITS) for some in (toxic, clean))
+    assert ((one.weights != 0) <= (toxicity.ratios(p, q, len(toxic), len(clean)) != 0)).all()
+
+
+def test_slots_that_no_row_has_say_nothing_where_classes_differ_in_size():
+    p, q = np.array([0.0, 0.0, 20.0, 1.0]), np.array([0.0, 1.0, 0.0, 9000.0])
+    assert (toxicity.ratios(p, q, 100, 9900) != 0).tolist() == [False, False, True, True]
